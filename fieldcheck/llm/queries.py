@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import contamination, embeddings, minhash, secrets
 
 QUERIES = {
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
+    "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
+    "op5_secret_scan": secrets.op5_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": contamination.OP4_SQL,
+    "op5_secret_scan": secrets.OP5_SQL,
+}
