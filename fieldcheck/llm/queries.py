@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, embeddings, minhash, secrets
+from . import contamination, embeddings, minhash, quality, secrets
 
 QUERIES = {
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_quality_classifier": quality.op6_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
