@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, embeddings, minhash, quality, secrets
+from . import bpe, contamination, embeddings, minhash, quality, records, secrets
 
 QUERIES = {
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op8_bpe_encoding": bpe.op8_bpe_encoding,
+    "op9_token_records": records.op9_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
