@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, contamination, embeddings, minhash, quality, records, secrets
+from . import bpe, chat, contamination, embeddings, minhash, quality, records, secrets
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
     "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": chat.OP1_SQL,
     "op4_benchmark_decontamination": contamination.OP4_SQL,
     "op5_secret_scan": secrets.OP5_SQL,
 }
