@@ -36,7 +36,8 @@ from .scratch import Scratch, small_batches
 from .tables import table
 from .vocabulary import default_path, pieces
 
-MASK = 0xA282EAD8
+#: Added to rotated checksums; stands for a null document.
+MASK, NO_ID = 0xA282EAD8, -(2**63)
 _HEAD, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<qIBB"), struct.Struct("<QQqI")
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 200_000
@@ -52,10 +53,14 @@ def frame(payload: bytes) -> bytes:
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
-def payload(doc_id: int, ids: np.ndarray, packer: zstandard.ZstdCompressor | None) -> bytes:
+def payload(doc_id: int | None, ids: np.ndarray, packer: zstandard.ZstdCompressor | None) -> bytes:
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
     data = ids.astype("<u2" if width == 2 else "<u4").tobytes()
-    return _META.pack(doc_id, len(ids), width, packer is not None) + (packer.compress(data) if packer else data)
+    return _META.pack(NO_ID if doc_id is None else doc_id, len(ids), width, packer is not None) + (packer.compress(data) if packer else data)
+
+
+def index_entry(offset: int, length: int, doc_id: int | None, n_ids: int) -> bytes:
+    return _ENTRY.pack(offset, length, NO_ID if doc_id is None else doc_id, n_ids)
 
 
 def unpacked(data: bytes) -> tuple[int, np.ndarray]:
@@ -157,9 +162,9 @@ def write_records(docs: DataFrame, folder: str, content, end_id: int = 2, compre
                 rows = own.encode([t or "" for t in batch.column("text").to_pylist()])
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), rows, strict=True):
                     ids = np.append(ids, np.uint32(end_id))
-                    record = frame(payload(-(2**63) if doc_id is None else doc_id, ids, packer))
+                    record = frame(payload(doc_id, ids, packer))
                     data.write(record)
-                    index.write(_ENTRY.pack(offset, len(record), -(2**63) if doc_id is None else doc_id, len(ids)))
+                    index.write(index_entry(offset, len(record), doc_id, len(ids)))
                     offset, n_docs, n_ids = offset + len(record), n_docs + 1, n_ids + len(ids)
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([path]), pa.array([n_docs]), pa.array([n_ids])], names=["part", "path", "docs", "ids"])
@@ -177,7 +182,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows: list[tuple] = []
                 while (data := read_record(stream)) is not None:
                     doc_id, ids = unpacked(data)
-                    rows.append((None if doc_id == -(2**63) else doc_id, base, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((None if doc_id == NO_ID else doc_id, base, len(ids), zlib.crc32(ids.tobytes())))
                     base += len(ids)
                     if len(rows) == 4096:
                         yield _rows(rows)
