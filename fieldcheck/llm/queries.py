@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, contamination, embeddings, minhash, quality, records, secrets
+from . import bpe, chat, contamination, embeddings, html, minhash, quality, records, secrets, spans
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_benchmark_decontamination": contamination.op4_benchmark_decontamination,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_quality_classifier": quality.op6_quality_classifier,
+    "op7_substring_dedup": spans.op7_substring_dedup,
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
     "op9_token_records": records.op9_token_records,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
