@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat, contamination, embeddings, html, minhash, quality, records, secrets, spans
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_bpe_encoding": bpe.op8_bpe_encoding,
     "op9_token_records": records.op9_token_records,
     "op10_html_extraction": html.op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -118,6 +118,29 @@ def secret_spans(docs: DataFrame, doc: str = "doc_id", owner: str = "source", re
     )
 
 
+def masked(docs: DataFrame, mask: str, owner: str = "source", repository: str = "lang") -> DataFrame:
+    """``docs`` with every live span of its column text replaced by ``mask``; overlapping spans by one mask.
+
+    Rows are matched to their spans by a hash of all that the scan reads, so equal rows are masked alike.
+    """
+    key = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ("text", owner, repository)]), 256)
+    docs = docs.withColumn("_key", key)
+    found = secret_spans(docs, doc="_key", owner=owner, repository=repository, name="masking")
+    live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    found = found.select("_key", live.alias("_live")).where("size(_live) > 0").dropDuplicates(["_key"])
+    # text up to each span, but not before the end of an earlier one; nothing for a span that lies within an earlier one
+    walk = F.aggregate(
+        "_live",
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
+    )
+    return docs.join(found, "_key", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(walk)).drop("_key", "_live")
+
+
 def _listed(spans: Column) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(
