@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fieldcheck.plans import outlier_queries
+
 
 def queries() -> dict:
-    return {}
+    return {**outlier_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**outlier_queries.SQL}
