@@ -18,14 +18,17 @@ from fieldcheck.operators.select import APPROVED_BY_HEADQUARTERS, APPROVED_BY_SU
 API = ("interview__id", "reject_comment", "interview__status")
 STATUSES = (COMPLETED, APPROVED_BY_SUPERVISOR, APPROVED_BY_HEADQUARTERS)
 ID_PATTERN = "^[0-9a-f]{32}$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+#: Role of comments that came with a rejection.
+HEADQUARTERS = 3
 ISSUE_COLUMNS = ("issue_type", "issue_desc", "issue_comment", "issue_vars", "issue_loc")
 
 
 def has_comments(comments: DataFrame, issues: DataFrame, cases: DataFrame) -> DataFrame:
     """interview__id of cases with a comment on the whole interview (variable null) or on a variable of one of their issues.
 
-    issue_vars holds names separated by commas or bars.
+    issue_vars holds names separated by commas or bars. Comments of headquarters don't count: they are earlier rejections.
     """
+    comments = comments.where(~in_list(F.col("role"), [HEADQUARTERS]))
     named = issues.select("interview__id", F.explode(F.split("issue_vars", r"[,|]\s*")).alias("variable")).distinct()
     whole = comments.where("variable is null").select("interview__id")
     on_issue = comments.where("variable is not null").join(named, ["interview__id", "variable"], "left_semi").select("interview__id")
@@ -61,8 +64,8 @@ def rejection_messages(chosen: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def persistent(comments: DataFrame, to_reject: DataFrame) -> DataFrame:
-    """``to_reject`` with a column persists: whether an earlier comment on the whole interview holds the very same message."""
-    earlier = comments.where("variable is null").select("interview__id", F.col("comment").alias("reject_comment")).distinct().withColumn("persists", F.lit(True))
+    """``to_reject`` with a column persists: whether headquarters have commented on the whole interview with the very same message."""
+    earlier = comments.where(F.col("variable").isNull() & (F.col("role") == HEADQUARTERS)).select("interview__id", F.col("comment").alias("reject_comment")).distinct().withColumn("persists", F.lit(True))
     return to_reject.join(earlier, ["interview__id", "reject_comment"], "left").select(*to_reject.columns, F.coalesce("persists", F.lit(False)).alias("persists"))
 
 

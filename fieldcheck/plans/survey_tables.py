@@ -27,9 +27,9 @@ from events"""
 
 STATS = """
 select cast(user_id as {text}) as interview__id, concat('K', cast(user_id as {text})) as interview__key,
-       sum(case when event_type = 'error' then 1 else 0 end) as n_questions_unanswered,
-       sum(case when event_type = 'click' then 1 else 0 end) as questions__comments,
-       sum(case when event_type = 'signup' and value > 60 then 1 else 0 end) as entities__errors
+       cast(sum(case when event_type = 'error' then 1 else 0 end) as bigint) as n_questions_unanswered,
+       cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as questions__comments,
+       cast(sum(case when event_type = 'signup' and value > 60 then 1 else 0 end) as bigint) as entities__errors
 from events group by user_id"""
 
 
