@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 
 from .scratch import small_batches
 from .tables import table
-from .vocabulary import default_path, pieces
+from .vocabulary import Recent, default_path, pieces
 
 #: Fixed value: the pattern by which the byte-level pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces of text whose ids a worker remembers.
+#: Pieces of text whose ids a worker remembers, twice: the latest ones and those before them.
 REMEMBERED = 200_000
+#: Bits that hold an id of the vocabulary.
+BITS = 20
+MASK = (1 << BITS) - 1
 
 
 def byte_letters() -> list[str]:
@@ -41,7 +44,9 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocabulary[c] for c in letters]
         merges = (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.merges = {
+            vocabulary[a] << BITS | vocabulary[b]: (rank + 1) << BITS | vocabulary[a + b] for rank, (a, b) in enumerate(merges)
+        }
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         size = max([*vocabulary.values(), *self.special.values()]) + 1
         self.strings = [b""] * size
@@ -52,50 +57,52 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.known_words: dict[str, tuple[int, ...]] = {}
-        self.known_pieces: dict[str, tuple[int, ...]] = {}
+        self.known_words, self.known_pieces = Recent(REMEMBERED), Recent(REMEMBERED)
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
+        merge = self.merges.get
         ids = [self.first[b] for b in word.encode()]
-        n, merges = len(ids), self.merges
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        after[-1] = -1
-        heap: list[tuple[int, int, int, int, int]] = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                heappush(heap, (found[0], i, ids[i], ids[i + 1], found[1]))
-        while heap:
-            _, i, a, b, merged = heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:  # stale: one of the two has been merged meanwhile
+        n = len(ids)
+        # an entry of the queue is (rank, merged id, position) as one number
+        queue = [found * n + i for i in range(n - 1) if (found := merge(ids[i] << BITS | ids[i + 1]))]
+        if not queue:
+            return tuple(ids)
+        heapify(queue)
+        after = list(range(1, n + 1))  # n: none
+        before = list(range(-1, n - 1))
+        while queue:
+            entry, i = divmod(heappop(queue), n)
+            j = after[i]
+            if j >= n or merge(ids[i] << BITS | ids[j]) != entry:  # stale: one of the two has been merged meanwhile
                 continue
-            ids[i], ids[j] = merged, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right >= 0 and (found := merges.get((ids[left], ids[right]))):
-                    heappush(heap, (found[0], left, ids[left], ids[right], found[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def _plain(self, text: str) -> Iterator[int]:
+            ids[i] = merged = entry & MASK
+            ids[j] = -1
+            after[j], after[i] = n, (k := after[j])
+            if k < n:
+                before[k] = i
+                if found := merge(merged << BITS | ids[k]):
+                    heappush(queue, found * n + i)
+            if (h := before[i]) >= 0 and (found := merge(ids[h] << BITS | merged)):
+                heappush(queue, found * n + h)
+        return tuple([x for x in ids if x >= 0])
+
+    def _plain(self, text: str) -> tuple[int, ...]:
+        ids: tuple[int, ...] = ()
         for word in self.pattern.findall(text):
-            ids = self.known_words.get(word)
-            if ids is None:
-                ids = self.word(word)
-                if len(word) < 64:
-                    if len(self.known_words) >= REMEMBERED:
-                        self.known_words.clear()
-                    self.known_words[word] = ids
-            yield from ids
+            found = self.known_words.get(word)
+            if found is None:
+                found = self.known_words.put(word, self.word(word))
+            ids = ids + found if ids else found
+        return ids
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of a text; the strings of special tokens in it get their ids."""
+        if not self.specials or not self.specials.search(text):
+            return self._plain(text)
         ids: list[int] = []
         at = 0
-        for m in self.specials.finditer(text) if self.specials else ():
+        for m in self.specials.finditer(text):
             ids.extend(self._plain(text[at : m.start()]))
             ids.append(self.special[m.group()])
             at = m.end()
@@ -103,17 +110,12 @@ class Codec:
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        known = self.known_pieces
-        out = []
-        for p in pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) < 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[p] = ids
-            out.append(ids)
+        known, cut = self.known_pieces, pieces(text)
+        out = list(map(known.recent.get, cut))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = known.get(cut[k]) or known.put(cut[k], self.piece(cut[k]))
         return list(chain.from_iterable(out))
 
     def decode(self, ids: list[int]) -> str:

@@ -11,16 +11,16 @@ _SEPARATOR[[32, *range(9, 14)]] = True
 _PIECE = 1 << 20
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-_LETTER = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LETTER[65:91] = _LETTER[97:123]
-_PLACE = _mixed(np.arange(1001, 2025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+PLACE = mixed(np.arange(1001, 2025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +53,11 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = starts[at], starts[to] if to < len(starts) else n
         own = starts[at:to] - lo
         place = np.arange(hi - lo) - np.repeat(own, np.diff(np.append(own, hi - lo)))
-        value = _LETTER[data[lo:hi]] * (_PLACE[place & 1023] + ((place >> 10) << 1).astype(np.uint64))
+        value = _LETTER[data[lo:hi]] * (PLACE[place & 1023] + ((place >> 10) << 1).astype(np.uint64))
         value[apart[lo:hi]] = 0
         hashes[at:to] = np.add.reduceat(value, own)
         at = to
-    return _mixed(hashes), np.searchsorted(starts, offsets)
+    return mixed(hashes), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -65,7 +65,7 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     h, begin = word_hashes(column)
     long = h[: max(0, len(h) - words + 1)].copy()
     for k in range(1, words):
-        long = _mixed(long * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(long)])
+        long = mixed(long * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(long)])
     out = []
     for a, b in zip(begin[:-1], begin[1:], strict=True):
         if b - a >= words:
@@ -73,7 +73,7 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
         elif b > a:
             one = np.array([b - a], np.uint64)
             for x in h[a:b]:
-                one = _mixed(one * np.uint64(0xD6E8FEB86659FD93) + x)
+                one = mixed(one * np.uint64(0xD6E8FEB86659FD93) + x)
             out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))

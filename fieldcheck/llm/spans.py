@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
-from .shingles import _mixed, text_buffer, word_hashes
+from .shingles import mixed, text_buffer, word_hashes
 from .tables import table
 
 #: Sentences in a run at least, and words in a run at least.
@@ -81,7 +81,7 @@ def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         back = np.cumprod(np.full(len(h) + 1, pow(odd, -1, 1 << 64), np.uint64)) * np.uint64(odd)
         total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
         value = (total[edge[e]] - total[edge[s]]) * back[edge[s]]
-        marks.append(_mixed(value + (edge[e] - edge[s]).astype(np.uint64)).view(np.int64))
+        marks.append(mixed(value + (edge[e] - edge[s]).astype(np.uint64)).view(np.int64))
     base = row_of[row[s]]
     return row[s], s - base, e - base, marks[0], marks[1]
 
