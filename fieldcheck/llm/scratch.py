@@ -19,12 +19,18 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        context = spark.sparkContext
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="fieldcheck-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldcheck-"))
+            base = context.getCheckpointDir()
         self.spark = spark
-        self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        whole = at.getFileSystem(self._conf()).makeQualified(at).toString()  # with its scheme, for readers besides Spark
+        self.path = f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def _conf(self):
+        return self.spark._jsparkSession.sessionState().newHadoopConf()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
@@ -34,9 +40,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self._conf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
