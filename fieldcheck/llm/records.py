@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 from .tables import table
-from .vocabulary import default_path, pieces
+from .vocabulary import default_path, encode_column, gathered
 
 #: Added to rotated checksums; stands for a null document.
 MASK, NO_ID = 0xA282EAD8, -(2**63)
 _HEAD, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<qIBB"), struct.Struct("<QQqI")
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Pieces of text whose ids a worker remembers, twice: the latest ones and those before them.
+REMEMBERED = 400_000
+#: Marks that may follow a word.
+MARKS = b".,;:!?"
 
 
 def masked(data: bytes) -> int:
@@ -104,7 +107,10 @@ def read_at(path: str, offset: int) -> tuple[int, np.ndarray]:
 
 
 def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if ":/" in path else "file://" + os.path.abspath(path))
+    """The file system of a path with a scheme, and the path in it."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(path)
 
 
 class Encoder:
@@ -117,22 +123,54 @@ class Encoder:
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        #: Ids of known pieces: the recent ones and those before them. When the recent ones are full they become the old ones.
+        self.recent: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m: self._library([bytes([m])])[0] for m in MARKS}
+
+    def _library(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers."""
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.old = {}, self.recent
+        recent, old, marks = self.recent, self.old.get, self.marks
+        found = list(map(recent.get, pieces))
+        new: dict[bytes, list[int]] = {}
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            p = pieces[k]
+            if ids := old(p):
+                recent[p] = found[k] = ids
+                continue
+            # the pre-tokenizer cuts between a letter and a mark; a single last mark is a token of its own
+            if p[-1] in marks and p[-2:-1].isalpha():
+                core = p[:-1]
+                if ids := recent.get(core) or old(core):
+                    recent[p] = found[k] = ids + marks[p[-1]]
+                    continue
+            else:
+                core = p
+            if core in new:
+                new[core].append(k)
+            else:
+                new[core] = [k]
+        todo = list(new)
+        for at in range(0, len(todo), 4096):
+            part = todo[at : at + 4096]
+            for core, ids in zip(part, self._library(part), strict=True):
+                recent[core] = ids
+                for k in new[core]:
+                    if len(pieces[k]) == len(core):
+                        found[k] = ids
+                    else:
+                        recent[pieces[k]] = found[k] = ids + marks[pieces[k][-1]]
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, equal to those of the library for the whole text."""
-        known, cut = self.known, [pieces(t) for t in texts]
-        new = list({p for c in cut for p in c if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list({p for c in cut for p in c})
-        passing = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(p) < 64 else passing)[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__ if not passing else lambda p: passing[p] if p in passing else known[p]
-        return [np.frombuffer(b"".join(map(get, c)), "<u4") for c in cut]
+        return list(encode_column(pa.array(texts, pa.string()), self.pieces))
 
 
 @lru_cache(maxsize=2)
@@ -158,8 +196,8 @@ def write_records(docs: DataFrame, folder: str, content, end_id: int = 2, compre
         files.create_dir(os.path.dirname(at), recursive=True)
         offset = n_docs = n_ids = 0
         with files.open_output_stream(f"{at}.rec") as data, files.open_output_stream(f"{at}.idx") as index:
-            for batch in batches:
-                rows = own.encode([t or "" for t in batch.column("text").to_pylist()])
+            for batch in gathered(batches, "text"):
+                rows = encode_column(batch.column("text"), own.pieces)
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), rows, strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     record = frame(payload(doc_id, ids, packer))
@@ -203,7 +241,8 @@ def read_records(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("part", "path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    return placed.repartition("path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(tasks, "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_records(spark, sf_dir: str) -> DataFrame:
