@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .scratch import small_batches
 from .tables import table
-from .vocabulary import Recent, default_path, pieces
+from .vocabulary import default_path, encode_column, gathered
 
 #: Fixed value: the pattern by which the byte-level pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +57,11 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.known_words, self.known_pieces = Recent(REMEMBERED), Recent(REMEMBERED)
+        #: Ids of known pre-tokens, and of known pieces of text: the recent ones and those before them.
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.recent_pieces: dict[bytes, bytes] = {}
+        self.old_pieces: dict[bytes, bytes] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token: the pair of lowest rank, leftmost first, is merged until none is left."""
@@ -87,36 +91,43 @@ class Codec:
                 heappush(queue, found * n + h)
         return tuple([x for x in ids if x >= 0])
 
-    def _plain(self, text: str) -> tuple[int, ...]:
-        ids: tuple[int, ...] = ()
+    def _plain(self, text: str) -> list[int]:
+        recent, old = self.recent, self.old.get
+        ids: list[int] = []
         for word in self.pattern.findall(text):
-            found = self.known_words.get(word)
+            found = recent.get(word)
             if found is None:
-                found = self.known_words.put(word, self.word(word))
-            ids = ids + found if ids else found
+                found = recent[word] = old(word) or self.word(word)
+            ids += found
         return ids
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> list[int]:
         """Ids of a text; the strings of special tokens in it get their ids."""
         if not self.specials or not self.specials.search(text):
             return self._plain(text)
         ids: list[int] = []
         at = 0
         for m in self.specials.finditer(text):
-            ids.extend(self._plain(text[at : m.start()]))
+            ids += self._plain(text[at : m.start()])
             ids.append(self.special[m.group()])
             at = m.end()
-        ids.extend(self._plain(text[at:]))
-        return tuple(ids)
+        return ids + self._plain(text[at:])
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as unsigned 32-bit integers."""
+        if len(self.recent) > REMEMBERED:
+            self.recent, self.old = {}, self.recent
+        if len(self.recent_pieces) > REMEMBERED:
+            self.recent_pieces, self.old_pieces = {}, self.recent_pieces
+        recent, old = self.recent_pieces, self.old_pieces.get
+        found = list(map(recent.get, pieces))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            p = pieces[k]
+            recent[p] = found[k] = old(p) or array("I", self.piece(p.decode())).tobytes()
+        return found
 
     def encode(self, text: str) -> list[int]:
-        known, cut = self.known_pieces, pieces(text)
-        out = list(map(known.recent.get, cut))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    out[k] = known.get(cut[k]) or known.put(cut[k], self.piece(cut[k]))
-        return list(chain.from_iterable(out))
+        return next(encode_column(pa.array([text]), self.pieces)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
@@ -146,23 +157,22 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             counts, listed, ids_sha, text_sha = [], [], [], []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py() or "")
+            for found in encode_column(batch.column("text"), own.pieces):
+                ids = found.tolist()
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    listed.append(pa.array(ids, pa.int32()))
+                    listed.append(pa.array(found.astype("<i4")))
             added = [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 ends = pa.array([0, *_running(counts)], pa.int32())
-                flat = pa.concat_arrays(listed) if listed else pa.array([], pa.int32())
-                added.append(pa.ListArray.from_arrays(ends, flat))
+                added.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(listed)))
                 names.append("ids")
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
+            yield from pa.Table.from_arrays([*batch.columns, *added], names=names).to_batches()
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -1,8 +1,12 @@
-"""Public tokenizer files, and cutting texts where their byte-level pre-tokenizer cuts."""
+"""Public tokenizer files, and cutting texts where their byte-level pre-tokenizer cuts.
+
+A pre-token ends before a space that has no white space on either side, and the next one starts with it: every
+alternative of the pre-tokenizer's pattern takes a space only as its first character or within a run of white space.
+So the pieces between such spaces are tokenized one by one as they are within the text.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,36 +14,6 @@ import pyarrow as pa
 
 from .shingles import PLACE, mixed, text_buffer
 
-#: A space with no white space on either side: a pre-token ends before it and starts with it. Every
-#: alternative of the pre-tokenizer's pattern takes a space only as its first character or within a run of white space.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s \s|[^\S ] | [^\S ]|^ | $|  ")
-
-
-class Recent:
-    """A memory of bounded size: when the recent entries are full they become the old ones, and old ones are forgotten.
-
-    An old entry that is asked for becomes recent again. Long keys are not remembered.
-    """
-
-    def __init__(self, size: int, longest: int = 64) -> None:
-        self.size, self.longest = size, longest
-        self.recent: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        found = self.recent.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value):
-        if len(key) <= self.longest:
-            if len(self.recent) >= self.size:
-                self.old, self.recent = self.recent, {}
-            self.recent[key] = value
-        return value
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -47,17 +21,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(text: str) -> list[str]:
-    """The text in pieces that are tokenized one by one as they are within it; joined they give the text.
-
-    The first piece has no space before it, every other one starts with its space.
-    """
-    if not text:
-        return []
-    found = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-    return [found[0], *(" " + x for x in found[1:])]
-
-
 #: UTF-8 of white space beyond ASCII: last bytes by the bytes before them.
 _WIDE = {b"\xc2": (0x85, 0xA0), b"\xe1\x9a": (0x80,), b"\xe2\x80": (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), b"\xe2\x81": (0x9F,), b"\xe3\x80": (0x80,)}
 _ASCII_SPACE = np.zeros(256, bool)
