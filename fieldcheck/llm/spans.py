@@ -63,12 +63,15 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first sentence, end sentence, two hashes) of the run at each sentence: the shortest of SENTENCES and WORDS at least."""
+    """(row, first sentence, end sentence, 64-bit hash, 32-bit check) of the run at each sentence, in order.
+
+    A run is the shortest one of SENTENCES sentences and WORDS words at least; sentences are numbered through the column.
+    """
     h, _, first, row_of, _ = sentences(column)
     n = len(first)
     if not n:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty.astype(np.int32)
     row = np.repeat(np.arange(len(row_of) - 1), np.diff(row_of))
     limit = row_of[1:][row]
     edge = np.append(first, len(h))
@@ -82,40 +85,53 @@ def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         total = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
         value = (total[edge[e]] - total[edge[s]]) * back[edge[s]]
         marks.append(mixed(value + (edge[e] - edge[s]).astype(np.uint64)).view(np.int64))
-    base = row_of[row[s]]
-    return row[s], s - base, e - base, marks[0], marks[1]
+    return row[s], s, e, marks[0], (marks[1] >> 32).astype(np.int32)
+
+
+def _later(row: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Whether an equal run stands earlier in the same row."""
+    order = np.lexsort((check, h, row))
+    same = (np.diff(row[order]) == 0) & (np.diff(h[order]) == 0) & (np.diff(check[order]) == 0)
+    out = np.zeros(len(row), bool)
+    out[order[1:][same]] = True
+    return out
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, check, doc) of the distinct runs of every row."""
     for batch in batches:
-        row, start, end, h1, h2 = runs(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h1), pa.array(h2), *(batch.column(c).take(pa.array(row)) for c in ("doc", "text_hash")), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-            names=["h1", "h2", "doc", "text_hash", "first", "end"],
-        )
+        row, _, _, h, check = runs(batch.column("text"))
+        new = ~_later(row, h, check)
+        yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(check[new]), batch.column("doc").take(pa.array(row[new]))], names=["h", "check", "doc"])
 
 
 def _cut(names: list[str]):
+    """Rows with the hashes of runs that stand in an earlier document -> rows with those runs, and repeats within the row, cut out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             data, offsets = text_buffer(column)
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            h, begin, first, row_of, byte = sentences(column)
-            edge, texts, removed, words = np.append(first, len(h)), column.to_pylist(), [], []
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                n = int(row_of[k + 1] - row_of[k])
-                gone = np.zeros(n + 1, np.int64)
-                for s in spans or ():
-                    gone[s["first"]] += 1
-                    gone[s["end"]] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
-                removed.append(int(gone.sum()))
-                words.append(int(np.diff(edge[row_of[k] : row_of[k + 1] + 1])[gone].sum()) if n else 0)
-                if removed[-1]:
-                    cuts = np.concatenate([[offsets[k]], byte[row_of[k] + 1 : row_of[k + 1]], [offsets[k + 1]]])
-                    texts[k] = b"".join(data[a:b].tobytes() for a, b, x in zip(cuts[:-1], cuts[1:], gone, strict=True) if not x).decode()
-            out = [*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(row_of)), pa.array(removed, pa.int64()), pa.array(words, pa.int64())]
+            words, _, first, row_of, byte = sentences(column)
+            row, s, e, h, check = runs(column)
+            known = _later(row, h, check)
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for k, found in enumerate(batch.column("known").to_pylist()):
+                if found:
+                    known[at[k] : at[k + 1]] |= np.isin(h[at[k] : at[k + 1]], np.array(found, np.int64))
+            depth = np.zeros(len(first) + 1, np.int64)
+            np.add.at(depth, s[known], 1)
+            np.add.at(depth, e[known], -1)
+            gone = np.cumsum(depth[:-1]) > 0
+            size = np.diff(np.append(first, len(words)))
+            count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[row_of])
+            removed, texts = count(gone), column.to_pylist()
+            for k in np.flatnonzero(removed):
+                lo, hi = row_of[k], row_of[k + 1]
+                edge = np.concatenate([[offsets[k]], byte[lo + 1 : hi], [offsets[k + 1]]])
+                texts[k] = b"".join(data[a:b].tobytes() for a, b, x in zip(edge[:-1], edge[1:], gone[lo:hi], strict=True) if not x).decode()
+            out = [*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(row_of)), pa.array(removed), pa.array(count(gone * size))]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "text", "n_sentences", "n_removed", "words_removed"])
 
     return run
@@ -125,31 +141,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated passages cut out of text, plus n_sentences, n_removed, words_removed.
 
     The run at a sentence is it and what follows, up to SENTENCES sentences and WORDS words. Of equal runs
-    the first one stays: that of the smallest doc_id (null first), then the smallest text hash, then the earliest. Every sentence that any
+    the first one stays: that of the smallest doc_id (null first), and there the earliest. Every sentence that any
     other one covers is removed, with the white space behind it; the rest of a text stays as it is. Words are compared
-    with A-Z as a-z. Rows equal in doc_id and text count as one document. A null text stays null; columns of the new names are replaced.
+    with A-Z as a-z. Rows of one doc_id count as one document, as do those without one: what one of them has isn't removed from another, only repeats within a row are.
+    A null text stays null; columns of the new names are replaced.
 
-    Runs carry two 64-bit hashes. They are counted with partial sums, those of a repeated hash are joined back,
-    so a passage of a third of all documents costs one row per task, and the join may split its rows.
+    Runs carry 96 bits of hash. Repeats within a row are found there, so each run of a row is sent once, as its hash and doc_id; hashes
+    are reduced to smallest and largest doc_id with partial sums, and those of several documents are joined back. A passage of a third of all
+    documents costs one row per task in the first step, and the join may split its rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "spans")
-    docs = docs.drop("n_sentences", "n_removed", "words_removed", "spans").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_sentences", "n_removed", "words_removed", "known", "_doc").withColumn("text", F.col("text").cast("string"))
     names = [c for c in docs.columns if c != "text"]
-    identity = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    found = docs.select("text", *identity).mapInArrow(_runs, "h1 long, h2 long, doc long, text_hash long, first int, end int")
-    place = F.struct("doc", "text_hash", "first")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
-    repeated = repeated.select("h1", "h2", F.col("place.doc").alias("d0"), F.col("place.text_hash").alias("t0"), F.col("place.first").alias("f0"))
-    later = found.join(repeated, ["h1", "h2"]).where("doc <> d0 or text_hash <> t0 or first <> f0").select("doc", "text_hash", "first", "end")
-    spans = later.distinct().groupBy("doc", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    spans = scratch.table(spans, "spans")
-    joined = docs.withColumns({"_doc": identity[0], "_hash": identity[1]}).join(
-        spans.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"}), ["_doc", "_hash"], "left"
-    )
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    found = docs.select("text", doc.alias("doc")).mapInArrow(_runs, "h long, check int, doc long")
+    repeated = found.groupBy("h", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    later = found.join(repeated, ["h", "check"]).where("doc > low").select("doc", "h")
+    known = scratch.table(later.groupBy("doc").agg(F.collect_set("h").alias("known")), "known")
+    joined = docs.withColumn("_doc", doc).join(known.withColumnRenamed("doc", "_doc"), "_doc", "left")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
-    return joined.select(*names, "text", "spans").mapInArrow(_cut(names), f"{schema}text string, n_sentences long, n_removed long, words_removed long")
+    return joined.select(*names, "text", "known").mapInArrow(_cut(names), f"{schema}text string, n_sentences long, n_removed long, words_removed long")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -201,8 +201,16 @@ def test_codecs_agree_with_the_library(library, monkeypatch):
 
 
 def test_pieces_join_to_the_text():
-    for t in odd_texts():
-        assert "".join(vocabulary.pieces(t)) == t
+    seen = []
+
+    def encode(pieces):
+        seen.append(pieces)
+        return [np.array([k], "<u4").tobytes() for k in range(len(pieces))]
+
+    column = pa.array([None, *odd_texts()])
+    rows = list(vocabulary.encode_column(column, encode))
+    assert [b"".join(seen[0][k] for k in row) for row in rows] == [(t or "").encode() for t in column.to_pylist()]
+    assert len(set(seen[0])) == len(seen[0])
 
 
 def test_bpe_operator(spark, library):
@@ -315,17 +323,19 @@ def test_repeated_passages_against_brute_force(spark):
     passage = "Some words that stand together. In more than one place! And (so they do.) They go on for quite a while; it is a longer one without any stop at all in it here. Done now. Really done."
     plain = "word " * 3 + " ".join(rng.choice(["ab", "cd", "ef", "gh", "ij"]) + str(rng.randrange(50)) for _ in range(60))
     texts = [*ODD, passage, f"é First. {passage.upper()}  Last one.\nEnd", prose(rng, 200), f"{prose(rng, 40)}\n{passage}\n{passage}\n{prose(rng, 30)}", f"{prose(rng, 9)} {plain} {prose(rng, 9)}", f"{prose(rng, 20)} {plain}", passage]
-    docs = documents(spark, texts).withColumns({"spans": F.lit("clash"), "first": F.lit(2)})
+    docs = documents(spark, texts).withColumns({"known": F.lit("clash"), "doc": F.lit(2)})
     out = spans.without_repeats(docs)
     got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"]) for r in out.collect()}
     want = without_repeats(texts)
     assert got == dict(enumerate(want)) and sum(n > 0 for _, n, _ in want) == 4
-    assert set(out.columns) == {*docs.columns, "n_sentences", "n_removed", "words_removed"} - {"spans"}
+    assert set(out.columns) == {*docs.columns, "n_sentences", "n_removed", "words_removed"} - {"known"}
 
 
 def test_repeats_of_one_document_and_nothing(spark):
     text = "One two three. Four five six. Seven eight nine. Ten eleven twelve thirteen."
-    df = spark.createDataFrame([(1, text), (1, text), (None, text), (0, "x")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (0, "x"), (2, f"{text} {text} End of it."), (2, text + " More.")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_removed"]) for r in spans.without_repeats(df).collect()), key=repr)
-    assert got == sorted([(None, 0), (0, 0), (1, 4), (1, 4)], key=repr)
+    assert got == sorted([(None, 0), (0, 0), (1, 4), (1, 4), (2, 8), (2, 4)], key=repr)
+    one = spark.createDataFrame([(2, f"{text} {text} End of it."), (2, text + " More.")], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in spans.without_repeats(one).collect()) == [0, 4]
     assert spans.without_repeats(df.where("false")).count() == 0
