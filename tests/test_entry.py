@@ -29,6 +29,8 @@ def test_query_agrees_with_sql(spark, name):
     columns = [d[0] for d in want.description]
     got = entry.queries()[name](spark, SMALL)
     assert sorted(got.columns) == sorted(columns)
+    plan = got._jdf.queryExecution().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|ArrowEval", plan)
     rows = lambda some: sorted(some, key=repr)
     plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else v
     assert rows(tuple(plain(v) for v in r) for r in got.select(*columns).collect()) == rows(tuple(plain(v) for v in r) for r in want.fetchall())
