@@ -18,6 +18,13 @@ SENTENCES, WORDS = 3, 12
 #: A sentence of more words is cut behind each of its words whose hash is divisible by the second number,
 #: so that text without full stops has sentences too, the same ones wherever it stands.
 LONG, CUT = 12, 6
+#: What is still of so many words or more is cut behind the least hash of each of its windows of so many words. So from any word on
+#: the first cut that doesn't depend on what stands before follows within NEAR words, and three more units end within 4 * NEAR words.
+NEAR = 12
+#: The run at such a unit counts if no run of sentences lies within so many words behind its start. In a passage of 50 words the
+#: first sure cut stands at word 12 at most; these and 13 more, which tell whether the last sentence is long, fit behind it.
+DENSE = 25
+_PIECE = 1 << 16
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -25,11 +32,25 @@ _CLOSER = np.zeros(256, bool)
 _CLOSER[[ord(c) for c in "\"')]"]] = True
 
 
-def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _least(h: np.ndarray, first: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Whether a word has the least hash (the last of equal ones) of a window of NEAR words of one unit of a long sentence."""
+    out = np.zeros(len(h), bool)
+    left = np.repeat(np.append(first[1:], len(h)), np.diff(np.append(first, len(h)))) - np.arange(len(h))
+    starts = np.flatnonzero(long & (left >= NEAR))
+    if len(starts):
+        windows = np.lib.stride_tricks.sliding_window_view(h, NEAR)[:, ::-1]
+        for k in range(0, len(starts), _PIECE):
+            own = starts[k : k + _PIECE]
+            out[own + NEAR - 1 - windows[own].argmin(1)] = True
+    return out
+
+
+def sentences(column: pa.Array, fine: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, position of each row's first word, first word of each sentence, position of each row's first sentence, first byte of each sentence).
 
     Positions have one more entry at the end; bytes count from the column's first one. A sentence ends with a word
     that ends in a full stop, exclamation or question mark (closing quotes and brackets may follow), with a line break behind it, or with the text.
+    With ``fine``, long stretches of one sentence are cut further (NEAR), into units that runs are made of.
     """
     h, begin = word_hashes(column)
     data, offsets = text_buffer(column)
@@ -59,25 +80,40 @@ def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     long = np.repeat(size > LONG, size)
     stop |= long & (h % np.uint64(CUT) == 0)
     first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
+    if fine:
+        stop |= _least(h, first, long)
+        first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
     return h, begin, first, np.searchsorted(first, begin), first_byte[first]
 
 
+def _ends(edge: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, end unit) of the shortest run of SENTENCES units and WORDS words at each unit that has one; edge has where units begin, and the end."""
+    n = len(edge) - 1
+    end = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(edge, edge[:-1] + WORDS))
+    ok = end <= np.repeat(row_of[1:], np.diff(row_of))
+    return np.flatnonzero(ok), end[ok]
+
+
 def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first sentence, end sentence, 64-bit hash, 32-bit check) of the run at each sentence, in order.
+    """(row, first unit, end unit, 64-bit hash, 32-bit check) of the run at each sentence, and at other units where those are too rare (DENSE), in order.
 
-    A run is the shortest one of SENTENCES sentences and WORDS words at least; sentences are numbered through the column.
+    A run is the shortest one of SENTENCES of them and WORDS words at least; units are numbered through the column.
     """
-    h, _, first, row_of, _ = sentences(column)
-    n = len(first)
-    if not n:
+    h, _, first, row_of, _ = sentences(column, fine=True)
+    if not len(first):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty.astype(np.int32)
     row = np.repeat(np.arange(len(row_of) - 1), np.diff(row_of))
-    limit = row_of[1:][row]
     edge = np.append(first, len(h))
-    end = np.maximum(np.arange(n) + SENTENCES, np.searchsorted(edge, first + WORDS))
-    ok = end <= limit
-    s, e = np.flatnonzero(ok), end[ok]
+    _, _, whole, whole_of, _ = sentences(column)
+    of = np.searchsorted(edge, np.append(whole, len(h)))
+    s, e = (of[x] for x in _ends(edge[of], whole_of))
+    if len(whole) < len(first):
+        more_s, more_e = _ends(edge, row_of)
+        after = np.searchsorted(s, more_s)
+        dense = (np.append(edge[e], len(h) + DENSE + 1)[after] - edge[more_s] <= DENSE) & (row[np.append(s, 0)[after]] == row[more_s])
+        both = np.concatenate([np.column_stack([s, e]), np.column_stack([more_s, more_e])[~dense]])
+        s, e = np.unique(both, axis=0).T
     marks = []
     for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
         power = np.cumprod(np.full(len(h) + 1, odd, np.uint64)) * np.uint64(pow(odd, -1, 1 << 64))
@@ -113,7 +149,7 @@ def _cut(names: list[str]):
             column = batch.column("text")
             data, offsets = text_buffer(column)
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            words, _, first, row_of, byte = sentences(column)
+            words, _, first, row_of, byte = sentences(column, fine=True)
             row, s, e, h, check = runs(column)
             known = _later(row, h, check)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -125,13 +161,15 @@ def _cut(names: list[str]):
             np.add.at(depth, e[known], -1)
             gone = np.cumsum(depth[:-1]) > 0
             size = np.diff(np.append(first, len(words)))
-            count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[row_of])
-            removed, texts = count(gone), column.to_pylist()
-            for k in np.flatnonzero(removed):
+            count = lambda x, of: np.diff(np.concatenate([[0], np.cumsum(x)])[of])
+            words_removed, texts = count(gone * size, row_of), column.to_pylist()
+            _, _, whole, whole_of, _ = sentences(column)
+            hit = np.logical_or.reduceat(gone, np.searchsorted(first, whole)) if len(whole) else gone
+            for k in np.flatnonzero(words_removed):
                 lo, hi = row_of[k], row_of[k + 1]
                 edge = np.concatenate([[offsets[k]], byte[lo + 1 : hi], [offsets[k + 1]]])
                 texts[k] = b"".join(data[a:b].tobytes() for a, b, x in zip(edge[:-1], edge[1:], gone[lo:hi], strict=True) if not x).decode()
-            out = [*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(row_of)), pa.array(removed), pa.array(count(gone * size))]
+            out = [*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(whole_of)), pa.array(count(hit, whole_of)), pa.array(words_removed)]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "text", "n_sentences", "n_removed", "words_removed"])
 
     return run
@@ -140,11 +178,12 @@ def _cut(names: list[str]):
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with repeated passages cut out of text, plus n_sentences, n_removed, words_removed.
 
-    The run at a sentence is it and what follows, up to SENTENCES sentences and WORDS words. Of equal runs
-    the first one stays: that of the smallest doc_id (null first), and there the earliest. Every sentence that any
+    The run at a sentence is it and what follows, up to SENTENCES sentences and WORDS words; where a long sentence is cut further
+    (NEAR), the run at each of its units counts too, unless there are runs of sentences enough (DENSE). Whatever surrounds a passage of 50 words, one run of it at least is the same everywhere.
+    Of equal runs the first one stays: that of the smallest doc_id (null first), and there the earliest. Every unit that any
     other one covers is removed, with the white space behind it; the rest of a text stays as it is. Words are compared
     with A-Z as a-z. Rows of one doc_id count as one document, as do those without one: what one of them has isn't removed from another, only repeats within a row are.
-    A null text stays null; columns of the new names are replaced.
+    n_removed counts sentences that lost words. A null text stays null; columns of the new names are replaced.
 
     Runs carry 96 bits of hash. Repeats within a row are found there, so each run of a row is sent once, as its hash and doc_id; hashes
     are reduced to smallest and largest doc_id with partial sums, and those of several documents are joined back. A passage of a third of all

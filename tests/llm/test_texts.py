@@ -339,3 +339,41 @@ def test_repeats_of_one_document_and_nothing(spark):
     one = spark.createDataFrame([(2, f"{text} {text} End of it."), (2, text + " More.")], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in spans.without_repeats(one).collect()) == [0, 4]
     assert spans.without_repeats(df.where("false")).count() == 0
+
+
+def common_runs(one, other):
+    """Whether the two texts have an equal run."""
+    row, _, _, h, check = spans.runs(pa.array([one, other]))
+    both = [set(zip(h[row == k].tolist(), check[row == k].tolist(), strict=True)) for k in (0, 1)]
+    return bool(both[0] & both[1])
+
+
+@pytest.mark.parametrize("stops", [0, 0.02, 0.08, 0.3])
+@pytest.mark.parametrize("distinct", [1, 2, 3, 30, 5000])
+def test_every_passage_of_fifty_words_has_a_run_whatever_surrounds_it(stops, distinct):
+    rng = random.Random(distinct)
+    names = [f"w{rng.randrange(10**9)}" for _ in range(distinct)]
+    some = lambda n, other="": [other + rng.choice(names) + ("." if rng.random() < stops else "") for _ in range(n)]
+    for _ in range(300):
+        passage = some(50)
+        around = [" ".join([*some(rng.randrange(40), o), *passage, *some(rng.randrange(40), o)]) for o in ("a", "b")]
+        assert common_runs(*around)
+
+
+def test_runs_of_a_row_do_not_hang_on_its_neighbours():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(12, 40)).replace(".", "") for _ in range(300)] + [prose(rng, 30) for _ in range(100)]
+    rng.shuffle(texts)
+    row, _, _, h, _ = spans.runs(pa.array(texts))
+    assert all(h[row == k].tolist() == spans.runs(pa.array([t]))[3].tolist() for k, t in enumerate(texts))
+
+
+def test_stopless_passage_is_removed(spark):
+    rng = random.Random(3)
+    low = [w for w in (f"v{k}" for k in range(3000)) if int(word_hashes(pa.array([w]))[0][0]) % spans.CUT]
+    passage = " ".join(rng.choice(low) for _ in range(51))
+    texts = [f"before it {passage} behind it", f"{passage}", f"some other words {passage}", "word " * 60, "word " * 60]
+    got = {r["doc_id"]: r for r in spans.without_repeats(documents(spark, texts)).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["words_removed"] == got[0]["n_removed"] == 0
+    assert all(got[k]["words_removed"] >= 12 and got[k]["n_removed"] >= 1 for k in (1, 2, 4))
+    assert all(len(got[k]["text"].split()) + got[k]["words_removed"] == len(texts[k].split()) for k in got)
