@@ -182,7 +182,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     (NEAR), the run at each of its units counts too, unless there are runs of sentences enough (DENSE). Whatever surrounds a passage of 50 words, one run of it at least is the same everywhere.
     Of equal runs the first one stays: that of the smallest doc_id (null first), and there the earliest. Every unit that any
     other one covers is removed, with the white space behind it; the rest of a text stays as it is. Words are compared
-    with A-Z as a-z. Rows of one doc_id count as one document, as do those without one: what one of them has isn't removed from another, only repeats within a row are.
+    with A-Z as a-z. Rows of one doc_id count as one document: what one of them has isn't removed from another, only repeats within a row are.
+    Every row without a doc_id is a document of its own, in the order they are read.
     n_removed counts sentences that lost words. A null text stays null; columns of the new names are replaced.
 
     Runs carry 96 bits of hash. Repeats within a row are found there, so each run of a row is sent once, as its hash and doc_id; hashes
@@ -194,13 +195,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "spans")
     docs = docs.drop("n_sentences", "n_removed", "words_removed", "known", "_doc").withColumn("text", F.col("text").cast("string"))
     names = [c for c in docs.columns if c != "text"]
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    found = docs.select("text", doc.alias("doc")).mapInArrow(_runs, "h long, check int, doc long")
+    doc = F.col("doc_id").cast("long")
+    # Numbers of rows hold only where they are stored; they stand for the least doc_ids.
+    bare = docs.where(doc.isNull()).withColumn("_doc", F.monotonically_increasing_id() + F.lit(-(2**63)))
+    docs = docs.where(doc.isNotNull()).withColumn("_doc", doc).unionByName(scratch.table(bare, "bare"))
+    found = docs.select("text", F.col("_doc").alias("doc")).mapInArrow(_runs, "h long, check int, doc long")
     repeated = found.groupBy("h", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
     later = found.join(repeated, ["h", "check"]).where("doc > low").select("doc", "h")
     known = scratch.table(later.groupBy("doc").agg(F.collect_set("h").alias("known")), "known")
-    joined = docs.withColumn("_doc", doc).join(known.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    joined = docs.join(known.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name not in ("text", "_doc"))
     return joined.select(*names, "text", "known").mapInArrow(_cut(names), f"{schema}text string, n_sentences long, n_removed long, words_removed long")
 
 

@@ -377,3 +377,12 @@ def test_stopless_passage_is_removed(spark):
     assert got[0]["text"] == texts[0] and got[0]["words_removed"] == got[0]["n_removed"] == 0
     assert all(got[k]["words_removed"] >= 12 and got[k]["n_removed"] >= 1 for k in (1, 2, 4))
     assert all(len(got[k]["text"].split()) + got[k]["words_removed"] == len(texts[k].split()) for k in got)
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    text = "One two three. Four five six. Seven eight nine. Ten eleven twelve thirteen."
+    rows = [(None, text), (None, text), (None, f"Before it. {text} Behind it."), (None, "x"), (None, None), (-5, f"{text} More."), (7, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_removed"], r["words_removed"]) for r in spans.without_repeats(df).collect()]
+    assert len(got) == len(rows) and sorted(n for _, n, _ in got) == [0, 0, 0, 4, 4, 4, 4]
+    assert sum(w for _, _, w in got) == 4 * 13 and all(n == 4 for d, n, _ in got if d is not None)
