@@ -62,6 +62,9 @@ CHECKS = {
     "outliers_global": (Check("unit_price", bounds="both", n_mad=1), True),
 }
 
+#: The same checks with all lines as the target.
+CHECKS |= {f"{name}_all": (check, False) for name, (check, completed) in CHECKS.items() if completed}
+
 BY = Check("unit_price", ("l_partkey",))
 ALL = Check("unit_price")
 

@@ -98,3 +98,11 @@ def test_plan_has_no_cross_join_or_python(spark):
     df = lines(spark, normal("a", 40))
     plan = flagged(df, df, [Check("v", ("g",)), Check("v")], [])._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"))
+
+
+def test_every_check_of_lines_has_a_query_over_all_of_them():
+    from fieldcheck.plans.outlier_queries import CHECKS, QUERIES, SQL
+
+    whole = {check for check, completed in CHECKS.values() if not completed}
+    assert {check for check, _ in CHECKS.values()} == whole
+    assert all("% 2" not in SQL[name] for name, (_, completed) in CHECKS.items() if not completed) and CHECKS.keys() <= QUERIES.keys()
