@@ -31,6 +31,11 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: An opening one of these ends an open one of the same group.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+_IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Elements that end an open select or svg, and an object or canvas without an end tag.
+_BREAKS = set("address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+_FOREIGN_TEXT = ("foreignobject", "desc")
 
 
 @dataclass(slots=True)
@@ -57,7 +62,8 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
     """Leaf blocks of a page in order; texts are decoded, white space is one space each, empty ones are left out.
 
     Ancestor features are held to ``known`` ones, if given. Time grows with the length of the page
-    whatever its markup: a tag, comment or script without an end reaches to the end of the page, and what
+    whatever its markup. A head ends where something begins that can't stand in it, a select and a drawing at a block element, and so do
+    object and canvas if no end tag of theirs follows in the page. A tag, comment or script without an end reaches to the end of the page, and what
     a block needs of its ancestors is kept with the open elements.
     """
     page = page or ""
@@ -80,6 +86,8 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
 
     def said(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip():
+            pop()
         if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -92,6 +100,17 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
         count[tag] -= 1
         silent -= tag in _SILENT
 
+    last_end: dict[str, int] = {}
+
+    def left_open(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return last_end[tag] < at
+
+    def leave(tag: str) -> None:
+        while count.get(tag):
+            pop()
+
     while at < end:
         less = page.find("<", at)
         if less < 0:
@@ -116,6 +135,18 @@ def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]
             tag = re.match(r"/?([^\s/>]*)", page[less + 1 : less + 64]).group(1)
             at = _tag_end(page, less + 1 + len(tag))
         tag = tag.lower()
+        if not closing:
+            if tag == "body":
+                leave("head")
+            elif stack[-1][0] == "head" and tag not in _IN_HEAD:
+                pop()
+            if tag in _BREAKS and silent:
+                leave("select")
+                if not any(count.get(t) for t in _FOREIGN_TEXT):
+                    leave("svg")
+                for t in ("object", "canvas"):
+                    if count.get(t) and left_open(t):
+                        leave(t)
         if tag == "br":
             said(" ")
             continue

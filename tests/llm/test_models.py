@@ -118,6 +118,26 @@ def test_blocks():
     assert b.path == ("tag=div", "name=big", "name=ad", "name=x", "tag=a")[: len(b.path)] and b.linked == 1
 
 
+def test_head_without_an_end_tag():
+    for page in ("<html><head><title>t</title><body><article><p>x</p></article>", "<head><meta a=b><link><script>s</script><style>y</style><p>x", "<head><title>t</title>x", "<head>\n<noscript>n</noscript><b>x</b></html>", "<head><title>t</title></head><body>x</body>"):
+        assert texts(page) == ["x"], page
+
+
+def test_silent_elements_without_an_end_tag():
+    for tag in ("select", "svg", "object", "canvas"):
+        assert texts(f"<div><{tag}><p>x</p><p>y</p></div><p>z</p>") == ["x", "y", "z"], tag
+    assert texts("<select><option>a<option>b</select><object><p>no</p></object><svg><text>a</text><foreignObject><p>no</p></foreignObject></svg><p>x") == ["x"]
+
+
+def test_silent_elements_in_linear_time():
+    import time
+
+    began = time.time()
+    for evil in ("<head>" * 50_000, "<svg><foreignObject><p>" * 30_000, "<object><p>" * 50_000, "<object><p>" * 50_000 + "</object>", "<select><i><p>" * 50_000, "<head>x" * 50_000):
+        html.blocks(evil)
+    assert time.time() - began < 20
+
+
 def test_blocks_in_linear_time():
     import time
 
