@@ -16,9 +16,14 @@ MASK = "[secret]"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it is fitted on those of ``docs`` that have a label."""
+    """Documents that the classifier accepts; it is fitted on those of ``docs`` that have a label.
+
+    Without any label to fit on there is no evidence against a document, so all of them stay.
+    """
     small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.count:
+        return docs.select(*COLUMNS)
     return quality.scored(docs.select(*COLUMNS), model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 

@@ -83,13 +83,14 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Two Gaussian classes over standardised statistics; factors are lower Cholesky factors."""
+    """Two Gaussian classes over standardised statistics; factors are lower Cholesky factors, count says how many documents it was fitted on."""
 
     centre: np.ndarray
     scale: np.ndarray
     means: tuple[np.ndarray, np.ndarray]
     factors: tuple[np.ndarray, np.ndarray]
     log_odds: float
+    count: int = 1
 
     def standardised(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.scale, -REACH, REACH)
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
         means.append(mean)
         factors.append(np.linalg.cholesky((1 - SHRINKAGE) * covariance + SHRINKAGE * floor + 1e-6 * np.eye(d)))
     odds = float(np.log((own[1][0] + 1) / (own[0][0] + 1)))
-    return Discriminant(centre, scale, tuple(means), tuple(factors), odds)
+    return Discriminant(centre, scale, tuple(means), tuple(factors), odds, sum(r[0] for r in own))
 
 
 def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

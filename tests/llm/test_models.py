@@ -211,3 +211,13 @@ def test_stages_take_odd_rows(spark):
     kept = corpus_pipeline.minhash_near_dedup(spark, docs, MIDDLE)
     judged = minhash.near_duplicates(documents(spark, ODD))
     assert kept.where("doc_id is not null").count() == judged.where("kept").count() and kept.where("doc_id is null").count() == 2
+
+
+@pytest.mark.parametrize("labels", [[], [(2, 1, 0)], [(10**9, 1, 0)], [(0, None, 0), (1, 7, 0)]])
+def test_no_document_is_dropped_without_usable_labels(spark, tmp_path, labels):
+    rows = documents(spark, ["Some words of a text.", None, *"abcdefghijkl"]).withColumn("held", quality.held_out(F.col("doc_id")))
+    held = rows.where("held").select("doc_id").first()[0]
+    labels = [(held if k == 2 else k, q, x) for k, q, x in labels]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality_classifier(spark, rows.drop("held"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(14))
