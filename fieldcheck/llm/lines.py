@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from .blocks import dealt, whole_groups
 from .scratch import Scratch, small_batches
+from .shingles import mixed, text_buffer
 from .tables import table
 
 #: Code points of a key at least.
 LEAST = 10
-#: What is stripped from lines, and the letters that count as their small ones.
-_BLANK = "".join(map(chr, (32, *range(9, 14))))
+#: Letters that count as their small ones.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Values of bytes, and of their first 1024 places in a line, for two hashes.
+_LETTER = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LETTER[65:91] = _LETTER[97:123]
+_PLACES = [mixed(np.arange(first, first + 1024, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1) for first in (5001, 9001)]
+_PIECE = 1 << 20
 #: Stands for a missing doc_id; such rows come behind all others.
 NO_ID = 2**63 - 1
 #: Kinds of rows of a scan: sure to go, undecided, and the first row of a run at the edge of a partition.
@@ -32,17 +37,62 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_rid", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
+def _factors(place: np.ndarray, which: int) -> np.ndarray:
+    """An odd factor for each place of a byte in its line; ``which`` of two independent sets."""
+    out = _PLACES[which][place & 1023]
+    far = place >> 10
+    if len(far) and far.max():
+        out = out + (mixed(far.astype(np.uint64) + np.uint64(which << 40)) * (far > 0)) * np.uint64(2)
+    return out
+
+
+def hashed_lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, hash, check, lines of the row) of each line of a string column whose key has LEAST code points, in order."""
+    data, offsets = text_buffer(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    feeds = np.flatnonzero(data == 10)
+    row = np.searchsorted(offsets, feeds, side="right") - 1
+    counts = 1 + np.bincount(row, minlength=len(column)).astype(np.int64)
+    base = np.cumsum(counts) - counts
+    after = np.arange(len(feeds)) + row + 1  # the line behind each line feed: every row before has one line more than line feeds
+    start, end = np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.int64)
+    start[base], start[after] = offsets[:-1], feeds + 1
+    end[base + counts - 1], end[after - 1] = offsets[1:], feeds
+    inked = np.flatnonzero(~((data == 32) | ((data >= 9) & (data <= 13))))
+    lo, hi = np.searchsorted(inked, start), np.searchsorted(inked, end)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    some = np.flatnonzero(hi > lo)
+    s, e = inked[lo[some]], inked[hi[some] - 1] + 1
+    long = points[e] - points[s] >= LEAST
+    some, s, e = some[long], s[long], e[long]
+    hashes = np.zeros((2, len(some)), np.uint64)
+    sums = np.cumsum(e - s)
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + _PIECE)))
+        size = e[at:to] - s[at:to]
+        begin = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(begin, size)
+        letters = _LETTER[data[np.repeat(s[at:to], size) + place]]
+        for which in (0, 1):
+            hashes[which, at:to] = mixed(np.add.reduceat(letters * _factors(place, which), begin) + size.astype(np.uint64))
+        at = to
+    of = np.repeat(np.arange(len(column)), counts)[some]
+    return of, (some - base[of]).astype(np.int32), hashes[0].view(np.int64), (hashes[1] >> np.uint64(33)).astype(np.int32), counts[of].astype(np.int32)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, pos, h, check, n_lines = hashed_lines(batch.column("text"))
+        at = pa.array(of)
+        out = [pa.array(h), pa.array(check), batch.column("doc").take(at), batch.column("rid").take(at), pa.array(pos), pa.array(n_lines)]
+        yield pa.RecordBatch.from_arrays(out, names=list(_COLUMNS[1:]))
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
     """(h, check, doc, rid, pos, n_lines) of every line whose key has LEAST code points; keys carry 95 bits of hash."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = identified(docs).select(F.col("_doc").alias("doc"), F.col("_rid").alias("rid"), lines.alias("lines"))
-    rows = rows.select("doc", "rid", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    bare = F.btrim("line", F.lit(_BLANK))
-    ascii_only = F.octet_length("bare") == F.length("bare")
-    rows = rows.select("doc", "rid", "n_lines", "pos", bare.alias("bare")).where(F.length("bare") >= LEAST)
-    rows = rows.withColumn("key", F.when(ascii_only, F.lower("bare")).otherwise(F.translate("bare", _UPPER, _LOWER)))
-    check = F.xxhash64(F.lit(1), "key").bitwiseAND(F.lit(2**31 - 1)).cast("int")
-    return rows.select(F.xxhash64("key").alias("h"), check.alias("check"), "doc", "rid", "pos", "n_lines")
+    rows = identified(docs).select(F.col("_doc").alias("doc"), F.col("_rid").alias("rid"), "text")
+    return rows.mapInArrow(_hashes, "h long, check int, doc long, rid long, pos int, n_lines int")
 
 
 def _behind(doc: np.ndarray, rid: np.ndarray, first_doc: np.ndarray, first_rid: np.ndarray) -> np.ndarray:
