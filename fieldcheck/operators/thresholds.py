@@ -1,66 +1,92 @@
-"""Group-wise medians and scaled median absolute deviations, exact, without a group in one task."""
+"""Group-wise medians and scaled median absolute deviations, exact, without a large group in one task.
+
+Groups of up to GROUP values are sorted within one row each, after one shuffle. Larger ones are searched by rank: their values
+are dealt out by ranges of (key, value), so a group spreads over as many tasks as its size asks for, whatever its distribution;
+sizes per partition and key, added up in order, tell at which place the wanted ranks are, and only those places are read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcheck.functions.semantics import INF
 from fieldcheck.functions.stored import stored
 
 #: Median absolute deviation of a normal distribution times this is its standard deviation.
 NORMAL = 1.4826
-#: Equal-width buckets that a group's range is cut into.
-BUCKETS = 65536
+#: Values of a group that are sorted within a row.
+GROUP = 10_000
+#: Bits of a place that number the rows within a partition.
+_ROWS = 33
+
+
+def _middle(low: Column, high: Column) -> Column:
+    """The mean of two values; equal ones, infinite ones too, are their own mean."""
+    return F.when(low == high, low).otherwise((low + high) / 2)
+
 
+def _sorted_median(values: Column) -> Column:
+    """Median of a sorted array, null for an empty one."""
+    n = F.size(values)
+    at = lambda k: F.get(values, k.cast("int"))
+    return F.when(n > 0, _middle(at(F.floor((n - 1) / 2)), at(F.floor(n / 2))))
 
-def _bucket(value: Column, low: Column, high: Column) -> Column:
-    inner = F.least(F.lit(BUCKETS - 1), F.floor((value - low) / (high - low) * BUCKETS))
-    return F.when(value == -INF, -1).when(value == INF, BUCKETS).when(high <= low, 0).otherwise(inner).cast("int")
 
+def in_one_row(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median, deviation) of groups that each fit in a row."""
+    sorted_ = values.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("v"))
+    found = sorted_.select(*keys, F.size("v").cast("long").alias("n"), "v", _sorted_median(F.col("v")).alias("median"))
+    away = F.array_sort(F.filter(F.transform("v", lambda x: F.abs(x - F.col("median"))), lambda d: ~F.isnan(d)))
+    return found.select(*keys, "n", "median", away.alias("d")).select(*keys, "n", "median", _sorted_median(F.col("d")).alias("deviation"))
 
-def medians(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median) of values that occur ``times`` times: columns keys, value (not null), times.
 
-    Each key's range is cut into BUCKETS buckets, whose sizes are sums with partial aggregation; only
-    the values of the bucket that holds the median are ordered. So a group of any size is counted by all
-    tasks, and one task orders about a 65536th of it (more where values crowd). The result is exact,
-    whichever the distribution. ``counted`` is used three times and should be stored.
+def ranged(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, at): rows of ``values`` (keys, value, tie) in order, ``at`` numbering the places of each partition.
+
+    ``tie`` differs between rows, so equal values spread over partitions too; it must be stored, as a repeated task has to deal its rows out as before.
     """
-    finite = F.when(F.abs("value") < INF, F.col("value"))
-    whole = counted.groupBy(*keys).agg(
-        F.sum("times").alias("n"), F.coalesce(F.min(finite), F.lit(0.0)).alias("from"), F.coalesce(F.max(finite), F.lit(0.0)).alias("to")
-    )
-    placed = counted.join(whole, keys).withColumn("bucket", _bucket(F.col("value"), F.col("from"), F.col("to")))
-    sizes = placed.groupBy(*keys, "bucket").agg(
-        F.sum("times").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"), F.first("n").alias("n")
-    )
-    order = Window.partitionBy(*keys).orderBy("bucket")
-    sizes = sizes.withColumn("upto", F.sum("size").over(order)).withColumn("behind", F.lead("low").over(order))
-    rank = F.expr("(n - 1) div 2")
-    held = sizes.where((F.col("upto") > rank) & (F.col("upto") - F.col("size") <= rank))
-    held = stored(held.select(*keys, "n", "low", "high", "behind", (F.col("upto") - F.col("size")).alias("before")))
-    order = Window.partitionBy(*keys).orderBy("value")
-    last = (
-        counted.join(held, keys)
-        .where("value between low and high")
-        .withColumn("upto", F.col("before") + F.sum("times").over(order))
-        .withColumn("next", F.lead("value").over(order))
-        .where((F.col("upto") > rank) & (F.col("upto") - F.col("times") <= rank))
-    )
-    upper = F.when((F.col("n") % 2 == 1) | (F.col("upto") > rank + 1), F.col("value")).otherwise(F.coalesce("next", "behind"))
-    middle = F.when(upper == F.col("value"), upper).otherwise((F.col("value") + upper) / 2)
-    return last.select(*keys, "n", middle.alias("median"))
+    order = [*keys, "value", "tie"]
+    rows = values.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.select(*keys, "value", F.monotonically_increasing_id().alias("at")))
+
+
+def ranked_medians(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median) of the rows of ``ranged``.
+
+    There is one row for each partition and key in the running sum, and at most two places a key are looked up.
+    """
+    sizes = placed.groupBy(*keys, F.shiftright("at", _ROWS).alias("part")).agg(F.count("*").alias("size"), F.min("at").alias("first"))
+    order = Window.partitionBy(*keys).orderBy("part")
+    sizes = sizes.withColumn("before", F.sum("size").over(order) - F.col("size")).withColumn("n", F.sum("size").over(Window.partitionBy(*keys)))
+    ranks = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
+    wanted = sizes.withColumn("rank", F.explode(ranks)).where("rank >= before and rank < before + size")
+    wanted = wanted.select((F.col("first") + F.col("rank") - F.col("before")).alias("at"), "n")
+    found = placed.join(wanted, "at").groupBy(*keys).agg(F.first("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return found.select(*keys, "n", _middle(F.col("low"), F.col("high")).alias("median"))
+
+
+def by_rank(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median, deviation) of groups of any size."""
+    placed = ranged(stored(values.withColumn("tie", F.monotonically_increasing_id())), keys)
+    med = stored(ranked_medians(placed, keys))
+    away = placed.join(med, keys).withColumn("value", F.abs(F.col("value") - F.col("median"))).where(~F.isnan("value"))
+    mad = ranked_medians(ranged(away.withColumnRenamed("at", "tie"), keys), keys)
+    return med.join(mad.select(*keys, F.col("median").alias("deviation")), keys, "left")
+
+
+def deviations(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median, deviation) of ``values`` (keys, value); null values don't count, keys are not null."""
+    values = values.where("value is not null").select(*keys, "value")
+    large = stored(values.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select(*keys))
+    if large.isEmpty():
+        return in_one_row(values, keys)
+    return in_one_row(values.join(large, keys, "left_anti"), keys).unionByName(by_rank(values.join(large, keys, "left_semi"), keys))
 
 
 def deviation_thresholds(values: DataFrame, keys: list[str], n_mad: Column) -> DataFrame:
     """(keys, n_obs, med, mad, ll, ul) of ``values`` (keys, value); null values don't count."""
-    counted = stored(values.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("times")))
-    med = stored(medians(counted, keys))
-    away = counted.join(med, keys).withColumn("value", F.abs(F.col("value") - F.col("median"))).where(~F.isnan("value"))
-    mad = medians(stored(away.groupBy(*keys, "value").agg(F.sum("times").alias("times"))), keys)
-    out = med.join(mad.select(*keys, (F.col("median") * NORMAL).alias("mad")), keys, "left").withColumn("n_mad", n_mad)
-    return out.select(
+    found = deviations(values, keys).withColumn("n_mad", n_mad).withColumn("mad", F.col("deviation") * NORMAL)
+    return found.select(
         *keys,
         F.col("n").alias("n_obs"),
         F.col("median").alias("med"),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from fieldcheck.functions.semantics import ratio
 from fieldcheck.functions.text import number_text, with_label
+from fieldcheck.operators import select
 from fieldcheck.operators.messages import text
 from fieldcheck.operators.outliers import Check, flagged, identify_outliers, thresholds
-from fieldcheck.plans.survey_tables import ROSTER, frame, sql, table
+from fieldcheck.plans.survey_tables import HOUSEHOLDS, ROSTER, frame, sql, table
 
 #: SQL of the same table; unit_price is a line's price over its quantity.
 LINES = f"(select *, l_extendedprice / l_quantity as unit_price, nullif(l_returnflag, 'A') as flag from {sql(ROSTER)})"
@@ -20,12 +21,13 @@ def lines(spark, sf_dir: str) -> DataFrame:
     return rows.withColumn("unit_price", ratio(F.col("l_extendedprice"), F.col("l_quantity"))).withColumn("flag", F.expr("nullif(l_returnflag, 'A')"))
 
 
-def _outliers(check: Check, completed: bool = True):
-    """Lines of even orders against all lines: baseline and target differ."""
+def _outliers(check: Check, completed: bool = False):
+    """Outliers among all lines, or among those of completed interviews, against all lines."""
 
     def run(spark, sf_dir: str) -> DataFrame:
         full = lines(spark, sf_dir)
-        target = full.where("l_orderkey % 2 = 0") if completed else full
+        done = select.completed(frame(spark, sf_dir, HOUSEHOLDS), [select.COMPLETED], "interview_result = 1") if completed else None
+        target = select.filter_tables({"lines": full}, done)["lines"] if completed else full
         found = flagged(target, full, [check], ["interview__id", "line__id"])
         return found.select(
             "interview__id", "line__id", F.round("raw", 6).alias("value"), "n_obs", F.round("med", 6).alias("med"), F.round("ll", 6).alias("ll"), F.round("ul", 6).alias("ul")
@@ -34,7 +36,7 @@ def _outliers(check: Check, completed: bool = True):
     return run
 
 
-def _outliers_sql(check: Check, completed: bool = True) -> str:
+def _outliers_sql(check: Check, completed: bool = False) -> str:
     var, keys = check.var, list(check.by)
     gone = f"coalesce({var} in ({', '.join(map(str, check.exclude))}), false)" if check.exclude else "false"
     base = f"case when not {gone} {f'and {var} > 0' if check.transform == 'log' else ''} then {'ln(' + var + ')' if check.transform == 'log' else var} end"
@@ -44,27 +46,25 @@ def _outliers_sql(check: Check, completed: bool = True) -> str:
     rule = {"upper": above, "lower": below, "both": f"({above} or {below})"}[check.bounds]
     listed = "".join(f"{k}, " for k in keys)
     group = f"group by {', '.join(keys)}" if keys else ""
+    done = f"and interview__id in (select interview__id from {sql(HOUSEHOLDS)} where interview__status = 100 and interview_result = 1)" if completed else ""
     return f"""
 with base as (select {listed}{base} as v from {LINES}),
 g as (select {listed}count(v) as n_obs, median(v) as med, median(v) - {check.n_mad} * 1.4826 * mad(v) as ll, median(v) + {check.n_mad} * 1.4826 * mad(v) as ul from base {group})
 select interview__id, line__id, round({var}, 6) as value, n_obs, round(med, 6) as med, round(ll, 6) as ll, round(ul, 6) as ul
-from (select t.*, {seen} as v from {LINES} t where not {gone} {"and l_orderkey % 2 = 0" if completed else ""}) t join g on {same}
+from (select t.*, {seen} as v from {LINES} t where not {gone} {done}) t join g on {same}
 where n_obs >= {check.min_obs} and {rule}"""
 
 
 CHECKS = {
-    "outliers_upper": (Check("unit_price", ("l_partkey",)), False),
-    "outliers_lower": (Check("l_discount", ("l_returnflag", "l_linestatus"), bounds="lower"), True),
-    "outliers_both": (Check("unit_price", ("l_suppkey",), bounds="both"), True),
-    "outliers_exclude": (Check("l_quantity", ("l_suppkey",), exclude=(1, 2, 3, 50), transform="none", n_mad=1), True),
-    "outliers_nolog": (Check("l_extendedprice", ("l_partkey",), transform="none"), True),
-    "outliers_null_group": (Check("l_tax", ("flag", "l_linestatus"), n_mad=1), True),
-    "outliers_global": (Check("unit_price", bounds="both", n_mad=1), True),
+    "outliers_upper": Check("unit_price", ("l_partkey",)),
+    "outliers_lower": Check("l_discount", ("l_returnflag", "l_linestatus"), bounds="lower"),
+    "outliers_both": Check("unit_price", ("l_suppkey",), bounds="both"),
+    "outliers_exclude": Check("l_quantity", ("l_suppkey",), exclude=(1, 2, 3, 50), transform="none", n_mad=1),
+    "outliers_nolog": Check("l_extendedprice", ("l_partkey",), transform="none"),
+    "outliers_null_group": Check("l_tax", ("flag", "l_linestatus"), n_mad=1),
+    "outliers_global": Check("unit_price", bounds="both", n_mad=1),
 }
 
-#: The same checks with all lines as the target.
-CHECKS |= {f"{name}_all": (check, False) for name, (check, completed) in CHECKS.items() if completed}
-
 BY = Check("unit_price", ("l_partkey",))
 ALL = Check("unit_price")
 
@@ -100,7 +100,7 @@ def outliers_multi_spec(spark, sf_dir: str) -> DataFrame:
 
 
 def _multi_sql() -> str:
-    return " union all ".join(f"select '{k.id}' as check_id, interview__id, line__id, value, n_obs, ul from ({_outliers_sql(k, False)})" for k in MULTI)
+    return " union all ".join(f"select '{k.id}' as check_id, interview__id, line__id, value, n_obs, ul from ({_outliers_sql(k)})" for k in MULTI)
 
 
 def _issues(spark, sf_dir: str) -> DataFrame:
@@ -142,7 +142,8 @@ def _number_format(language: str):
     return run
 
 
-QUERIES = {name: _outliers(*spec) for name, spec in CHECKS.items()} | {
+QUERIES = {name: _outliers(check) for name, check in CHECKS.items()} | {
+    "outliers_completed": _outliers(CHECKS["outliers_both"], completed=True),
     "mad_thresholds_by": _thresholds(BY),
     "mad_thresholds_global": _thresholds(ALL),
     "outliers_multi_spec": outliers_multi_spec,
@@ -153,7 +154,8 @@ QUERIES = {name: _outliers(*spec) for name, spec in CHECKS.items()} | {
     "number_format_fr": _number_format("fr"),
 }
 
-SQL = {name: _outliers_sql(*spec) for name, spec in CHECKS.items()} | {
+SQL = {name: _outliers_sql(check) for name, check in CHECKS.items()} | {
+    "outliers_completed": _outliers_sql(CHECKS["outliers_both"], completed=True),
     "mad_thresholds_by": _thresholds_sql("""'["' || l_partkey || '"]'""", "group by l_partkey"),
     "mad_thresholds_global": _thresholds_sql("'[]'", ""),
     "outliers_multi_spec": _multi_sql(),
