@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fieldcheck.operators import derive
-from fieldcheck.operators.outliers import Check, identify_outliers
+from fieldcheck.functions.templates import compiled, decode_map, label_of, placeholders
+from fieldcheck.operators import check_texts, derive
+from fieldcheck.operators.outliers import Check, of_check, beyond, described, issue_rows, long_measures
+from fieldcheck.operators.thresholds import deviation_thresholds
 
 # Names of tables, measures and grouping columns of the questionnaire.
 AREA = ("admin1", "urb_rur")
@@ -111,22 +115,57 @@ RATIOS = {
 }
 
 
-def with_measures(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Tables with the derived measures that the checks use."""
+def with_measures(tables: dict[str, DataFrame], checks: dict[str, list[Check]] | None = None) -> dict[str, DataFrame]:
+    """Tables with derived measures: all of them, or those that ``checks`` use."""
     out = dict(tables)
-    if "crops" in out:
+    used = lambda name, var: checks is None or any(k.var == var for k in checks.get(name, []))
+    if "crops" in out and any(used("crops", var) for var in RATIOS["crops"]):
         out["crops"] = derive.with_parent(out["crops"], out["plots"], ["interview__id", "r_parcel__id", "r_plot__id"], ["ag02_q07_size"])
     for name, rates in DAILY.items():
         if name in out:
-            out[name] = derive.with_daily_rates(out[name], rates)
+            out[name] = derive.with_daily_rates(out[name], {var: of for var, of in rates.items() if used(name, var)})
     for name, ratios in RATIOS.items():
         if name in out:
-            out[name] = derive.with_ratios(out[name], ratios)
+            out[name] = derive.with_ratios(out[name], {var: of for var, of in ratios.items() if used(name, var)})
     return out
 
 
-def outlier_issues(filtered: dict[str, DataFrame], full: dict[str, DataFrame], checks: dict[str, list[Check]] | None = None, language: str = "en") -> DataFrame:
-    """Issues of all checks: one pass over each table, its rows against the groups of all interviews."""
-    filtered, full = with_measures(filtered), with_measures(full)
+def _long(tables: dict[str, DataFrame], checks: dict[str, list[Check]], coded: dict[str, list[str]], checked: bool) -> DataFrame:
+    """Measures of all tables in one: interview__id, interview__key, loc, codes, check_id, key, raw, value. Each table is read once."""
+    frames = []
+    for name, some in checks.items():
+        df = tables[name]
+        ids = [c for c in df.columns if c.endswith("__id") and c != "interview__id"]
+        loc = F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ids]), F.lit("]")) if ids else F.lit(None).cast("string")
+        codes = F.array(*[F.col(c).cast("double") for c in coded[name]]).cast("array<double>")
+        frames.append(long_measures(df.withColumns({"_loc": loc, "_codes": codes}), some, ["interview__id", "interview__key", "_loc", "_codes"], checked))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def outlier_issues(
+    filtered: dict[str, DataFrame], full: dict[str, DataFrame], checks: dict[str, list[Check]] | None = None, language: str = "en", labels: DataFrame | None = None
+) -> DataFrame:
+    """Issues of all checks of all tables in one pass: their rows against the groups of all interviews.
+
+    Measures of all tables become rows of one long table; groups are (check, key), so there is one pass for thresholds and one for outliers, however many tables
+    and checks there are. Texts name what is checked in ``language``; roster items and units in them are decoded by ``labels`` (dataset, variable, code,
+    label; the dataset is the table), where given.
+    """
     checks = {**CHECKS, **{k: v for k, v in LAND_CHECKS.items() if k in full}} if checks is None else checks
-    return reduce(DataFrame.unionByName, [identify_outliers(filtered[t], full[t], some, language=language) for t, some in checks.items()])
+    filtered, full = with_measures(filtered, checks), with_measures(full, checks)
+    checks = {t: [replace(k, table=t) for k in some] for t, some in checks.items()}
+    texts = {k.id: check_texts.what(k.var, language) for some in checks.values() for k in some}
+    fields = {i: [f for _, f, _ in placeholders(t) if f] for i, t in texts.items()}
+    coded = {t: sorted({f for k in some for f in fields[k.id] if f in full[t].columns}) for t, some in checks.items()}
+    every = [k for some in checks.values() for k in some]
+    limits = deviation_thresholds(_long(full, checks, coded, False).select("check_id", "key", "value"), ["check_id", "key"], of_check(every, "check_id", [float(k.n_mad) for k in every]))
+    rows = _long(filtered, checks, coded, True).join(limits, ["check_id", "key"]).where(beyond(every)).drop("mad")
+    decoder = decode_map(labels, list(checks)) if labels is not None else F.lit(None).cast("map<string,string>")
+    what = F.when(F.lit(False), F.lit(""))
+    for name, some in checks.items():
+        shown = {c: label_of(decoder, name, c, F.get("_codes", F.lit(n))) for n, c in enumerate(coded[name])}
+        for k in some:
+            what = what.when(F.col("check_id") == k.id, compiled(texts[k.id], language, row=shown))
+    rows = rows.withColumn("_what", what)
+    desc, comment = described(rows, every, F.col("_what"), language)
+    return issue_rows(rows, every, desc, comment, F.col("_loc"), True)

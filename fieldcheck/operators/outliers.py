@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.functions.semantics import baseline_log, checked_log, group_key, in_list, number
+from fieldcheck.functions.templates import compiled
 from fieldcheck.functions.text import number_text
-from fieldcheck.operators import messages
+from fieldcheck.operators import check_texts, messages
 from fieldcheck.operators.thresholds import deviation_thresholds
 
 ISSUES = (
@@ -33,6 +34,7 @@ class Check:
     bounds: str = "upper"
     type: int = 2
     message: str = "outlier"
+    table: str = ""
 
     def __post_init__(self) -> None:
         if self.var in self.by:
@@ -42,13 +44,28 @@ class Check:
 
     @property
     def id(self) -> str:
-        return f"{self.var}|{','.join(self.by)}"
+        return f"{self.table}{'.' if self.table else ''}{self.var}|{','.join(self.by)}"
 
 
-def _of_check(checks: list[Check], column: str, values: list) -> Column:
-    """A value by check_id, as a chain of literals."""
-    chain = reduce(lambda w, cv: w.when(F.col(column) == cv[0].id, F.lit(cv[1])), zip(checks, values, strict=True), F.when(F.lit(False), F.lit(values[0])))
-    return chain
+def of_check(checks: list[Check], column: str, values: list) -> Column:
+    """A value by check_id: one literal if all have the same one, else a chain over the values."""
+    ids: dict = {}
+    for k, v in zip(checks, values, strict=True):
+        ids.setdefault(v, []).append(k.id)
+    if len(ids) == 1:
+        return F.lit(next(iter(ids)))
+    return reduce(lambda w, vi: w.when(F.col(column).isin(vi[1]), F.lit(vi[0])), ids.items(), F.when(F.lit(False), F.lit(values[0])))
+
+
+def beyond(checks: list[Check]) -> Column:
+    """Whether a row of check_id, value, n_obs, ll, ul is an outlier of its check."""
+    above = F.col("value") > F.col("ul")
+    below = (F.col("value") < F.col("ll")) & (F.col("ll") < F.col("ul"))
+    rule = {"upper": above, "lower": below, "both": above | below}
+    bounds, least = of_check(checks, "check_id", [k.bounds for k in checks]), of_check(checks, "check_id", [k.min_obs for k in checks])
+    kinds = sorted({k.bounds for k in checks})
+    hit = rule[kinds[0]] if len(kinds) == 1 else reduce(lambda w, b: w.when(bounds == b, rule[b]), kinds, F.when(F.lit(False), F.lit(False)))
+    return hit & (F.col("n_obs") >= least)
 
 
 def long_measures(df: DataFrame, checks: list[Check], keep: list[str], checked: bool) -> DataFrame:
@@ -79,7 +96,7 @@ def long_measures(df: DataFrame, checks: list[Check], keep: list[str], checked:
 def thresholds(full: DataFrame, checks: list[Check]) -> DataFrame:
     """(check_id, key, n_obs, med, mad, ll, ul) of all checks over all interviews."""
     values = long_measures(full, checks, [], checked=False).select("check_id", "key", "value")
-    return deviation_thresholds(values, ["check_id", "key"], _of_check(checks, "check_id", [float(k.n_mad) for k in checks]))
+    return deviation_thresholds(values, ["check_id", "key"], of_check(checks, "check_id", [float(k.n_mad) for k in checks]))
 
 
 def flagged(target: DataFrame, full: DataFrame, checks: list[Check], keep: list[str]) -> DataFrame:
@@ -90,11 +107,7 @@ def flagged(target: DataFrame, full: DataFrame, checks: list[Check], keep: list[
     """
     rows = long_measures(target, checks, keep, checked=True)
     joined = rows.join(thresholds(full, checks), ["check_id", "key"])
-    above = F.col("value") > F.col("ul")
-    below = (F.col("value") < F.col("ll")) & (F.col("ll") < F.col("ul"))
-    rule = {"upper": above, "lower": below, "both": above | below}
-    hits = reduce(lambda w, k: w.when(F.col("check_id") == k.id, rule[k.bounds] & (F.col("n_obs") >= k.min_obs)), checks, F.when(F.lit(False), F.lit(False)))
-    return joined.where(hits).drop("mad")
+    return joined.where(beyond(checks)).drop("mad")
 
 
 def identify_outliers(target: DataFrame, full: DataFrame, checks: list[Check], questions: bool = True, language: str = "en") -> DataFrame:
@@ -106,11 +119,11 @@ def identify_outliers(target: DataFrame, full: DataFrame, checks: list[Check], q
     keep = ["interview__id", "interview__key", *ids]
     rows = flagged(target, full, checks, keep)
     loc = F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ids]), F.lit("]")) if ids else F.lit(None).cast("string")
-    back = F.when(_of_check(checks, "check_id", [k.transform == "log" for k in checks]), F.exp("ul")).otherwise(F.col("ul"))
+    back = F.when(of_check(checks, "check_id", [k.transform == "log" for k in checks]), F.exp("ul")).otherwise(F.col("ul"))
     text = [messages.text(f"{k.message}.comment", language) for k in checks]
     desc = [messages.text(f"{k.message}.desc", language).format(var=k.var) for k in checks]
     comment = F.concat(
-        _of_check(checks, "check_id", [t.format(var=k.var) for k, t in zip(checks, text, strict=True)]),
+        of_check(checks, "check_id", [t.format(var=k.var) for k, t in zip(checks, text, strict=True)]),
         F.lit(" "),
         number_text(F.col("raw"), language),
         F.lit(" ("),
@@ -121,16 +134,34 @@ def identify_outliers(target: DataFrame, full: DataFrame, checks: list[Check], q
         F.col("n_obs").cast("string"),
         F.lit(")"),
     )
+    return issue_rows(rows, checks, of_check(checks, "check_id", desc), comment, loc, questions)
+
+
+def issue_rows(rows: DataFrame, checks: list[Check], desc: Column, comment: Column, loc: Column, questions: bool) -> DataFrame:
+    """ISSUES rows of outliers: one of the check's type and, with ``questions``, one with the place of the question."""
     kinds = F.array(
-        F.struct(_of_check(checks, "check_id", [k.type for k in checks]).alias("issue_type"), F.lit(None).cast("string").alias("issue_loc")),
+        F.struct(of_check(checks, "check_id", [k.type for k in checks]).alias("issue_type"), F.lit(None).cast("string").alias("issue_loc")),
         *([F.struct(F.lit(COMMENT).alias("issue_type"), loc.alias("issue_loc"))] if questions else []),
     )
     return rows.withColumn("kind", F.explode(kinds)).select(
         "interview__id",
         "interview__key",
         F.col("kind.issue_type").cast("int").alias("issue_type"),
-        _of_check(checks, "check_id", desc).alias("issue_desc"),
+        desc.alias("issue_desc"),
         comment.alias("issue_comment"),
-        _of_check(checks, "check_id", [k.var for k in checks]).alias("issue_vars"),
+        of_check(checks, "check_id", [k.var for k in checks]).alias("issue_vars"),
         F.col("kind.issue_loc").alias("issue_loc"),
     )
+
+
+def described(rows: DataFrame, checks: list[Check], what: Column, language: str) -> tuple[Column, Column]:
+    """(desc, comment) of ``flagged`` rows: what is checked, its value, the group's figures on the scale of the answer, and the arguments of the check."""
+    of = lambda value: of_check(checks, "check_id", [value(k) for k in checks])
+    logs = [k.transform == "log" for k in checks]
+    answer = (lambda c: F.exp(c)) if all(logs) else (lambda c: F.when(of_check(checks, "check_id", logs), F.exp(c)).otherwise(F.col(c)))
+    fields = {
+        "what": what, "value": F.col("raw"), "n_obs": F.col("n_obs"), "med": answer("med"), "ll": answer("ll"), "ul": answer("ul"),
+        "var": of(lambda k: k.var), "by": of(lambda k: ", ".join(k.by) or "-"), "transform": of(lambda k: k.transform), "bounds": of(lambda k: k.bounds),
+        "n_mad": of(lambda k: f"{k.n_mad:g}"), "min_obs": of(lambda k: str(k.min_obs)), "exclude": of(lambda k: ", ".join(f"{x:g}" for x in k.exclude) or "-"),
+    }
+    return tuple(compiled(t[language], language, row=fields) for t in (check_texts.DESC, check_texts.COMMENT))
