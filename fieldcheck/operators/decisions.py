@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.functions.semantics import in_list
+from fieldcheck.functions.stored import stored
 from fieldcheck.operators.issues import COMMENT, REVIEW, SYSTEM
 from fieldcheck.operators.select import APPROVED_BY_HEADQUARTERS, APPROVED_BY_SUPERVISOR, COMPLETED
 
 API = ("interview__id", "reject_comment", "interview__status")
 STATUSES = (COMPLETED, APPROVED_BY_SUPERVISOR, APPROVED_BY_HEADQUARTERS)
 ID_PATTERN = "^[0-9a-f]{32}$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+#: What stands between the messages of one comment.
+SEPARATOR = " ## "
 #: Role of comments that came with a rejection.
 HEADQUARTERS = 3
 ISSUE_COLUMNS = ("issue_type", "issue_desc", "issue_comment", "issue_vars", "issue_loc")
@@ -58,7 +61,7 @@ def decide(cases: DataFrame, issues: DataFrame, reject_types: Iterable[int], com
 def rejection_messages(chosen: DataFrame, issues: DataFrame) -> DataFrame:
     """API rows: the distinct messages of the interview's issues in order, joined; comments on questions only aren't among them."""
     texts = issues.where(F.col("issue_type") != COMMENT).groupBy("interview__id").agg(
-        F.array_join(F.array_sort(F.collect_set("issue_comment")), " ## ").alias("reject_comment")
+        F.array_join(F.array_sort(F.collect_set("issue_comment")), SEPARATOR).alias("reject_comment")
     )
     return chosen.select("interview__id", "interview__status").join(texts, "interview__id", "left").select(*API)
 
@@ -69,20 +72,49 @@ def persistent(comments: DataFrame, to_reject: DataFrame) -> DataFrame:
     return to_reject.join(earlier, ["interview__id", "reject_comment"], "left").select(*to_reject.columns, F.coalesce("persists", F.lit(False)).alias("persists"))
 
 
-def create_decisions(cases: DataFrame, issues: DataFrame, comments: DataFrame, stats: DataFrame, reject_types: Iterable[int]) -> dict[str, DataFrame]:
+def message_index(comments: DataFrame) -> DataFrame:
+    """(interview__id, message): the distinct messages that headquarters have sent about a whole interview, each earlier comment split into its messages."""
+    earlier = comments.where(F.col("variable").isNull() & (F.col("role") == HEADQUARTERS))
+    said = earlier.select("interview__id", F.explode(F.split("comment", SEPARATOR, -1)).alias("message"))
+    return said.select("interview__id", F.trim("message").alias("message")).where("message <> ''").distinct()
+
+
+def sent_before(comments: DataFrame, to_reject: DataFrame) -> DataFrame:
+    """``to_reject`` with n_messages, n_sent (how many of them headquarters have sent before), and persists, whether there is one.
+
+    Messages are compared one by one, whatever comment they came in and in whichever order. They are joined with the index of earlier ones by a hash and by
+    themselves, so an interview with many comments is split over tasks. An interview without messages has none that persists.
+    """
+    own = to_reject.select("interview__id", F.explode(F.split("reject_comment", SEPARATOR, -1)).alias("message"))
+    own = own.select("interview__id", F.trim("message").alias("message")).where("message <> ''").distinct().withColumn("_h", F.xxhash64("message"))
+    known = message_index(comments).withColumn("_h", F.xxhash64("message")).withColumn("_sent", F.lit(1))
+    counts = own.join(known, ["interview__id", "_h", "message"], "left").groupBy("interview__id").agg(F.count("*").alias("n_messages"), F.count("_sent").alias("n_sent"))
+    joined = to_reject.join(counts, "interview__id", "left")
+    number = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_messages", "n_sent")]
+    return joined.select(*to_reject.columns, *number, F.coalesce(F.col("n_sent") > 0, F.lit(False)).alias("persists"))
+
+
+def create_decisions(
+    cases: DataFrame, issues: DataFrame, comments: DataFrame, stats: DataFrame, reject_types: Iterable[int], by_message: bool = False
+) -> dict[str, DataFrame]:
     """Nine frames: to_{reject, review, follow_up}_{ids, issues, api}.
 
-    Rejections whose message was sent before are followed up instead. Issues to reject are of the rejecting types or COMMENT, those to review of the
+    Rejections whose message was sent before are followed up instead; with ``by_message``, those with one message at least that was sent before, in whichever comment. What was decided
+    and what is said about each interview are stored once, for all nine. Issues to reject are of the rejecting types or COMMENT, those to review of the
     rejecting types or REVIEW, those to follow up of any type.
     """
     reject_types = list(reject_types)
     cases = cases.select("interview__id", "interview__key", "interview__status")
-    decided = decide(cases, issues, reject_types, has_comments(comments, issues, cases), stats)
-    split = persistent(comments, rejection_messages(decided.where("action = 'reject'"), issues))
+    decided = decide(cases, issues, reject_types, has_comments(comments, issues, cases), stats).where("action is not null")
+    said = rejection_messages(decided, issues).join(decided.select("interview__id", "action"), "interview__id")
+    said = stored(said.join(cases.select("interview__id", "interview__key"), "interview__id"))
+    rejected = said.where("action = 'reject'").select(*API)
+    split = stored((sent_before if by_message else persistent)(comments, rejected).select(*API, "persists"))
     reject, follow = split.where("not persists").drop("persists"), split.where("persists").drop("persists")
-    review = decided.where("action = 'review'").select(*cases.columns)
-    reject_ids = reject.select("interview__id").join(cases, "interview__id")
-    follow_ids = follow.select("interview__id").join(cases, "interview__id")
+    named = said.select(*cases.columns)
+    review = said.where("action = 'review'")
+    reject_ids = reject.select("interview__id").join(named, "interview__id")
+    follow_ids = follow.select("interview__id").join(named, "interview__id")
 
     def with_issues(ids: DataFrame, types: list[int] | None) -> DataFrame:
         joined = ids.select(*cases.columns).join(issues, ["interview__id", "interview__key"])
@@ -93,9 +125,9 @@ def create_decisions(cases: DataFrame, issues: DataFrame, comments: DataFrame, s
         "to_reject_ids": reject_ids,
         "to_reject_issues": with_issues(reject_ids, [*reject_types, COMMENT]),
         "to_reject_api": reject,
-        "to_review_ids": review,
+        "to_review_ids": review.select(*cases.columns),
         "to_review_issues": with_issues(review, [*reject_types, REVIEW]),
-        "to_review_api": rejection_messages(review, issues),
+        "to_review_api": review.select(*API),
         "to_follow_up_ids": follow_ids.select("interview__id", "interview__key"),
         "to_follow_up_issues": with_issues(follow_ids, None),
         "to_follow_up_api": follow,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,38 @@ def issues_by_team(issues: DataFrame, interviewers: DataFrame, team: DataFrame)
 def weekly_trend(events: DataFrame, ts: str) -> DataFrame:
     """(week, n): rows per week, by the date of its Monday."""
     return events.groupBy(F.date_trunc("week", F.col(ts)).cast("date").alias("week")).agg(F.count("*").alias("n"))
+
+
+def weekly_indicators(events: DataFrame, ts: str, indicators: dict[str, Column], by: tuple[str, ...] = (), last: tuple[str, str] | None = None) -> DataFrame:
+    """Per week, of each group of ``by``, every indicator's value, its running total and its change to the week before: columns name, name_total, name_change.
+
+    ``indicators`` has the value that a row adds. Weeks go from the earliest one of all rows to the latest one (or between the two dates of ``last``, outer rows left
+    out), for every group that has rows; a week without rows, or with nulls only, has the value 0. The first week has no change. Rows without a time are left out.
+    Rows are summed up before anything else, so what follows holds one row per week and group.
+    """
+    week = F.date_trunc("week", F.col(ts)).cast("date")
+    found = events.where(F.col(ts).isNotNull()).groupBy(week.alias("week"), *by).agg(*[F.sum(c).alias(name) for name, c in indicators.items()])
+    if last:
+        first, end = (F.date_trunc("week", F.lit(d).cast("date")).cast("date") for d in last)
+        found = found.where(F.col("week").between(first, end))
+        ends = found.groupBy(*by).agg(F.lit(1).alias("_one")).select(*by, first.alias("_from"), end.alias("_to"))
+    else:
+        # every group gets the ends of all groups, by way of a window over the weeks that are left
+        whole = Window.partitionBy(F.lit(0))
+        ends = found.groupBy(*by).agg(F.min("week").alias("_from"), F.max("week").alias("_to"))
+        ends = ends.select(*by, F.min("_from").over(whole).alias("_from"), F.max("_to").over(whole).alias("_to"))
+    spine = ends.select(*by, F.explode(F.sequence("_from", "_to", F.expr("interval 7 days"))).alias("week"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    joined = spine.alias("s").join(found.alias("f"), [F.col("s.week") == F.col("f.week"), *same], "left")
+    filled = joined.select("s.week", *[f"s.{c}" for c in by], *[F.coalesce(f"f.{name}", F.lit(0)).alias(name) for name in indicators])
+    order = Window.partitionBy(*by).orderBy("week")
+    more = [x for name in indicators for x in (F.sum(name).over(order).alias(f"{name}_total"), (F.col(name) - F.lag(name).over(order)).alias(f"{name}_change"))]
+    return filled.select("*", *more)
+
+
+def period_indicators(events: DataFrame, day: str, indicators: dict[str, Column], periods: DataFrame) -> DataFrame:
+    """(period_start, period_end, name of each indicator): sums over the rows whose day lies in each period, 0 for a period without rows. A row counts in every period that its day lies in."""
+    per_day = events.groupBy(F.col(day).cast("date").alias("_day")).agg(*[F.sum(c).alias(name) for name, c in indicators.items()])
+    days = periods.select("period_start", "period_end").distinct().withColumn("_on", F.explode(F.expr("sequence(period_start, period_end)")))
+    joined = days.join(per_day, F.col("_on") == F.col("_day"), "left")
+    return joined.groupBy("period_start", "period_end").agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in indicators])

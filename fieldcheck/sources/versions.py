@@ -37,8 +37,51 @@ def inventory(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Types from narrow to wide; every value of one has its like in those behind it. Of whole numbers beyond 2 ** 53 a double keeps the first digits.
+WIDTH = ("void", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "string")
+WIDENED = "column string, version int, from_type string, to_type string"
+
+
+def common_types(frames: list[DataFrame]) -> dict[str, str]:
+    """The type that each column of the frames gets: the widest of its types in WIDTH, one that is not in there only if the others equal it or are void.
+
+    A truth value and a number meet as text, as do a type that is not in WIDTH and another one.
+    """
+    found: dict[str, list[str]] = {}
+    for df in frames:
+        for f in df.schema:
+            found.setdefault(f.name, []).append(f.dataType.simpleString())
+    out = {}
+    for name, types in found.items():
+        some = set(types) - {"void"}
+        if len(some) <= 1:
+            out[name] = next(iter(some), "void")
+        elif some - set(WIDTH) or "boolean" in some:
+            out[name] = "string"
+        else:
+            out[name] = max(some, key=WIDTH.index)
+    return out
+
+
+def widened_columns(frames: list[DataFrame]) -> list[tuple[str, int, str, str]]:
+    """(column, version from 1, its type, type after the union) of every column that a union changes."""
+    common = common_types(frames)
+    kinds = [(f.name, n, f.dataType.simpleString()) for n, df in enumerate(frames, 1) for f in df.schema]
+    return [(name, n, kind, common[name]) for name, n, kind in kinds if kind != common[name]]
+
+
+def widening_report(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
+    """WIDENED rows of ``widened_columns``."""
+    return spark.createDataFrame(widened_columns(frames), WIDENED)
+
+
 def union_versions(frames: list[DataFrame]) -> DataFrame:
-    """All rows by column name; a column that a version lacks is null there. Labels of columns (metadata) are those of the first frame that has them."""
+    """All rows by column name; a column that a version lacks is null there. Labels of columns (metadata) are those of the first frame that has them.
+
+    A column whose type differs between versions gets their common type (``common_types``) before the union.
+    """
+    common = common_types(frames)
+    frames = [df.select(*[F.col(f"`{f.name}`").cast(common[f.name]).alias(f.name, metadata=f.metadata) if f.dataType.simpleString() != common[f.name] else F.col(f"`{f.name}`") for f in df.schema]) for df in frames]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     metadata: dict[str, dict] = {}
     for df in frames:
