@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldcheck.functions.stored import own_folder
+
 #: Rows hold whole documents, so few of them go into one Arrow batch.
 DOCUMENTS_PER_BATCH = 512
 
 
 class Scratch:
-    """A folder of Parquet tables below the session's ``spark.checkpoint.dir``.
+    """A folder of Parquet tables below the application's folder in the session's ``spark.checkpoint.dir``.
 
-    All executors see that folder, so a lost executor costs only its running tasks. Where the setting
-    is unset (one machine, as in tests) a temporary folder is set instead. Every run has a folder of its own.
+    All executors see that folder, so a lost executor costs only its running tasks; a cluster without one is refused, and one machine gets a temporary folder
+    (``shared_folder``). Every run has a folder of its own. ``discard_stored`` deletes those of the whole application, once no result is read any more.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        context = spark.sparkContext
-        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-        if not base:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldcheck-"))
-            base = context.getCheckpointDir()
         self.spark = spark
-        at = spark._jvm.org.apache.hadoop.fs.Path(base)
-        whole = at.getFileSystem(self._conf()).makeQualified(at).toString()  # with its scheme, for readers besides Spark
-        self.path = f"{whole.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def _conf(self):
         return self.spark._jsparkSession.sessionState().newHadoopConf()

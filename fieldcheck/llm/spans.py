@@ -25,6 +25,8 @@ NEAR = 12
 #: first sure cut stands at word 12 at most; these and 13 more, which tell whether the last sentence is long, fit behind it.
 DENSE = 25
 _PIECE = 1 << 16
+#: Stands for a missing doc_id, ahead of all others.
+NO_ID = -(2**63)
 
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
@@ -45,12 +47,12 @@ def _least(h: np.ndarray, first: np.ndarray, long: np.ndarray) -> np.ndarray:
     return out
 
 
-def sentences(column: pa.Array, fine: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, position of each row's first word, first word of each sentence, position of each row's first sentence, first byte of each sentence).
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each unit, position of each row's first unit, first byte of each unit, whether each unit begins a sentence).
 
     Positions have one more entry at the end; bytes count from the column's first one. A sentence ends with a word
-    that ends in a full stop, exclamation or question mark (closing quotes and brackets may follow), with a line break behind it, or with the text.
-    With ``fine``, long stretches of one sentence are cut further (NEAR), into units that runs are made of.
+    that ends in a full stop, exclamation or question mark (closing quotes and brackets may follow), with a line break behind it, or with the text; long ones are
+    cut (LONG, CUT). Units are sentences, and what is left of long stretches of them after further cuts (NEAR). One pass over the text yields both.
     """
     h, begin = word_hashes(column)
     data, offsets = text_buffer(column)
@@ -58,7 +60,7 @@ def sentences(column: pa.Array, fine: bool = False) -> tuple[np.ndarray, np.ndar
     n = len(h)
     if not n:
         zero = np.zeros(len(offsets), np.int64)
-        return h, begin, zero[:0], zero, zero[:0]
+        return h, zero[:0], zero, zero[:0], np.zeros(0, bool)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     row_starts = np.zeros(len(data) + 1, bool)
     row_starts[offsets] = True
@@ -71,19 +73,18 @@ def sentences(column: pa.Array, fine: bool = False) -> tuple[np.ndarray, np.ndar
     last = data[last_byte]
     before = data[np.maximum(last_byte - 1, first_byte)]
     stop = _END[last] | (_CLOSER[last] & _END[before])
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    stop[:-1] |= breaks[first_byte[1:]] > breaks[last_byte[:-1]]
+    feeds = np.searchsorted(np.flatnonzero(data == 10), first_byte)
+    stop[:-1] |= np.diff(feeds) > 0
     stop[-1] = True
     stop[begin[1:][begin[1:] > 0] - 1] = True
     first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
     size = np.diff(np.append(first, n))
     long = np.repeat(size > LONG, size)
     stop |= long & (h % np.uint64(CUT) == 0)
+    whole = np.concatenate([[True], stop[:-1]])
+    stop |= _least(h, np.flatnonzero(whole), long)
     first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
-    if fine:
-        stop |= _least(h, first, long)
-        first = np.flatnonzero(np.concatenate([[True], stop[:-1]]))
-    return h, begin, first, np.searchsorted(first, begin), first_byte[first]
+    return h, first, np.searchsorted(first, begin), first_byte[first], whole[first]
 
 
 def _ends(edge: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,16 +100,19 @@ def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
     A run is the shortest one of SENTENCES of them and WORDS words at least; units are numbered through the column.
     """
-    h, _, first, row_of, _ = sentences(column, fine=True)
+    return runs_of(*units(column))
+
+
+def runs_of(h: np.ndarray, first: np.ndarray, row_of: np.ndarray, _: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` of what ``units`` gives."""
     if not len(first):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, empty.astype(np.int32)
     row = np.repeat(np.arange(len(row_of) - 1), np.diff(row_of))
     edge = np.append(first, len(h))
-    _, _, whole, whole_of, _ = sentences(column)
-    of = np.searchsorted(edge, np.append(whole, len(h)))
-    s, e = (of[x] for x in _ends(edge[of], whole_of))
-    if len(whole) < len(first):
+    of = np.append(np.flatnonzero(whole), len(first))
+    s, e = (of[x] for x in _ends(edge[of], np.searchsorted(of, row_of)))
+    if len(of) <= len(first):
         more_s, more_e = _ends(edge, row_of)
         after = np.searchsorted(s, more_s)
         dense = (np.append(edge[e], len(h) + DENSE + 1)[after] - edge[more_s] <= DENSE) & (row[np.append(s, 0)[after]] == row[more_s])
@@ -133,12 +137,17 @@ def _later(row: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, check, doc) of the distinct runs of every row."""
-    for batch in batches:
-        row, _, _, h, check = runs(batch.column("text"))
-        new = ~_later(row, h, check)
-        yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(check[new]), batch.column("doc").take(pa.array(row[new]))], names=["h", "check", "doc"])
+def _runs(extra: list[str]):
+    """(h, check, and the columns of ``extra``) of the distinct runs of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, _, _, h, check = runs(batch.column("text"))
+            new = ~_later(row, h, check)
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(check[new]), *(batch.column(c).take(at) for c in extra)], names=["h", "check", *extra])
+
+    return run
 
 
 def _cut(names: list[str]):
@@ -149,13 +158,14 @@ def _cut(names: list[str]):
             column = batch.column("text")
             data, offsets = text_buffer(column)
             data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            words, _, first, row_of, byte = sentences(column, fine=True)
-            row, s, e, h, check = runs(column)
+            found = units(column)
+            words, first, row_of, byte, whole = found
+            row, s, e, h, check = runs_of(*found)
             known = _later(row, h, check)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            for k, found in enumerate(batch.column("known").to_pylist()):
-                if found:
-                    known[at[k] : at[k + 1]] |= np.isin(h[at[k] : at[k + 1]], np.array(found, np.int64))
+            for k, some in enumerate(batch.column("known").to_pylist()):
+                if some:
+                    known[at[k] : at[k + 1]] |= np.isin(h[at[k] : at[k + 1]], np.array(some, np.int64))
             depth = np.zeros(len(first) + 1, np.int64)
             np.add.at(depth, s[known], 1)
             np.add.at(depth, e[known], -1)
@@ -163,8 +173,9 @@ def _cut(names: list[str]):
             size = np.diff(np.append(first, len(words)))
             count = lambda x, of: np.diff(np.concatenate([[0], np.cumsum(x)])[of])
             words_removed, texts = count(gone * size, row_of), column.to_pylist()
-            _, _, whole, whole_of, _ = sentences(column)
-            hit = np.logical_or.reduceat(gone, np.searchsorted(first, whole)) if len(whole) else gone
+            begin = np.flatnonzero(whole)
+            hit = np.logical_or.reduceat(gone, begin) if len(begin) else gone
+            whole_of = np.searchsorted(begin, row_of)
             for k in np.flatnonzero(words_removed):
                 lo, hi = row_of[k], row_of[k + 1]
                 edge = np.concatenate([[offsets[k]], byte[lo + 1 : hi], [offsets[k + 1]]])
@@ -182,29 +193,39 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     (NEAR), the run at each of its units counts too, unless there are runs of sentences enough (DENSE). Whatever surrounds a passage of 50 words, one run of it at least is the same everywhere.
     Of equal runs the first one stays: that of the smallest doc_id (null first), and there the earliest. Every unit that any
     other one covers is removed, with the white space behind it; the rest of a text stays as it is. Words are compared
-    with A-Z as a-z. Rows of one doc_id count as one document: what one of them has isn't removed from another, only repeats within a row are.
-    Every row without a doc_id is a document of its own, in the order they are read.
+    with A-Z as a-z. Rows of one doc_id, and rows without one, are documents of their own too, in the order of a hash of their text; of rows equal in that too, one counts as the first.
     n_removed counts sentences that lost words. A null text stays null; columns of the new names are replaced.
 
     Runs carry 96 bits of hash. Repeats within a row are found there, so each run of a row is sent once, as its hash and doc_id; hashes
-    are reduced to smallest and largest doc_id with partial sums, and those of several documents are joined back. A passage of a third of all
-    documents costs one row per task in the first step, and the join may split its rows.
+    are reduced to smallest and largest doc_id with partial sums, and those of several documents are joined back. Only rows that share their doc_id are numbered, stored, and
+    compared with each other in a second, equal step. A passage of a third of all documents costs one row per task in the first step, and the join may split its rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "spans")
-    docs = docs.drop("n_sentences", "n_removed", "words_removed", "known", "_doc").withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("n_sentences", "n_removed", "words_removed", "known", "_doc", "_row", "_hash").withColumn("text", F.col("text").cast("string"))
     names = [c for c in docs.columns if c != "text"]
-    doc = F.col("doc_id").cast("long")
-    # Numbers of rows hold only where they are stored; they stand for the least doc_ids.
-    bare = docs.where(doc.isNull()).withColumn("_doc", F.monotonically_increasing_id() + F.lit(-(2**63)))
-    docs = docs.where(doc.isNotNull()).withColumn("_doc", doc).unionByName(scratch.table(bare, "bare"))
-    found = docs.select("text", F.col("_doc").alias("doc")).mapInArrow(_runs, "h long, check int, doc long")
-    repeated = found.groupBy("h", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    later = found.join(repeated, ["h", "check"]).where("doc > low").select("doc", "h")
-    known = scratch.table(later.groupBy("doc").agg(F.collect_set("h").alias("known")), "known")
-    joined = docs.join(known.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name not in ("text", "_doc"))
+    docs = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    repeated = docs.groupBy("_doc").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).select("_doc")
+    repeated = scratch.table(repeated, "repeated")
+    # numbers of rows hold only where they are stored
+    alike = docs.join(repeated, "_doc", "left_semi").withColumns({"_row": F.monotonically_increasing_id() + 1, "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    alike = scratch.table(alike, "alike")
+    alone = docs.join(repeated, "_doc", "left_anti").withColumn("_row", F.lit(0).cast("long"))
+    docs = alone.select(*names, "text", "_doc", "_row").unionByName(alike.select(*names, "text", "_doc", "_row"))
+
+    found = docs.select("text", F.col("_doc").alias("doc"), F.col("_row").alias("row")).mapInArrow(_runs(["doc", "row"]), "h long, check int, doc long, row long")
+    several = found.groupBy("h", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
+    later = found.join(several, ["h", "check"]).where("doc > low").select("doc", "row", "h")
+
+    own = alike.select("text", F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("_hash").alias("hash"))
+    own = own.mapInArrow(_runs(["doc", "row", "hash"]), "h long, check int, doc long, row long, hash long").withColumn("place", F.struct("hash", "row"))
+    first = own.groupBy("doc", "h", "check").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
+    behind = own.join(first, ["doc", "h", "check"]).where("place > first").select("doc", "row", "h")
+
+    known = scratch.table(later.unionByName(behind).groupBy("doc", "row").agg(F.collect_set("h").alias("known")), "known")
+    joined = docs.join(known.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
     return joined.select(*names, "text", "known").mapInArrow(_cut(names), f"{schema}text string, n_sentences long, n_removed long, words_removed long")
 
 
