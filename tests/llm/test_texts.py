@@ -96,9 +96,11 @@ def brute_hits(text, items, size):
     return len(words), sum(hit), sorted(found), stretches
 
 
-@pytest.mark.parametrize("chars", [4_000_000, 30])
-def test_contamination_against_brute_force(spark, monkeypatch, chars):
+@pytest.mark.parametrize(("chars", "most"), [(4_000_000, 4), (30, 1000), (30, 0)])
+def test_contamination_against_brute_force(spark, monkeypatch, chars, most):
+    """One automaton, many of them, and a benchmark that is too large for them."""
     monkeypatch.setattr(contamination, "AUTOMATON_CHARS", chars)
+    monkeypatch.setattr(contamination, "AUTOMATA", most)
     rng = random.Random(3)
     words = ["ä", "b", "C1", "déf", "漢"]
     items = [(k, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for k in range(30)] + [(31, None), (32, "..."), (4, "b b, B"), (None, "c1 c1 c1 c1 b"), (4, "b b, B")]
@@ -114,6 +116,41 @@ def test_contamination_against_brute_force(spark, monkeypatch, chars):
     assert contamination.contaminated(docs.where("false"), bench, 4).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 5, 10])
+def test_windows_of_all_sizes(size):
+    rng = random.Random(size)
+    for _ in range(150):
+        words = [f"w{k}" for k in range(rng.choice([2, 4, 30]))]
+        items = [(str(k), " ".join(rng.choices(words, k=rng.randint(0, 25)))) for k in range(rng.randint(0, 6))]
+        own = rng.choice(items)[1].split() if items else []
+        text = " ".join([*rng.choices(words, k=rng.randint(0, 9)), *own[rng.randint(0, 5) : rng.randint(5, 25)], *rng.choices(words, k=rng.randint(0, 20))])
+        hits, seen = contamination.Windows(tuple(items), size).find(contamination.words_of(text))
+        n, n_hit, found, spans_ = brute_hits(text, items, size)
+        assert (n_hit, spans_) == contamination.marked_words(text, n, hits) and sorted(seen) == found
+
+
+def test_a_benchmark_of_four_million_characters_takes_little_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, resource
+from fieldcheck.llm import contamination
+rng = random.Random(1)
+words = [f"word{rng.randrange(60000)}" for _ in range(460_000)]
+items = tuple((str(k), " ".join(words[k : k + 100])) for k in range(0, len(words), 100))
+assert sum(len(t) for _, t in items) > 4_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+w = contamination.Windows(items, 10)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, len(w.find(contamination.words_of(items[7][1]))[0]))
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, env={**__import__("os").environ, "PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    mb, found = map(int, out.stdout.split())
+    assert mb < 200 and found == 91
+
+
 # secrets
 
 
@@ -337,7 +374,8 @@ def test_repeats_of_one_document_and_nothing(spark):
     got = sorted(((r["doc_id"], r["n_removed"]) for r in spans.without_repeats(df).collect()), key=repr)
     assert got == sorted([(None, 0), (0, 0), (1, 4), (1, 4), (2, 8), (2, 4)], key=repr)
     one = spark.createDataFrame([(2, f"{text} {text} End of it."), (2, text + " More.")], "doc_id long, text string")
-    assert sorted(r["n_removed"] for r in spans.without_repeats(one).collect()) == [0, 4]
+    # whichever of the two comes first by its hash: each sentence of the passage stays once
+    assert sorted(r["n_removed"] for r in spans.without_repeats(one).collect()) in ([0, 8], [4, 4])
     assert spans.without_repeats(df.where("false")).count() == 0
 
 
@@ -386,3 +424,124 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     got = [(r["doc_id"], r["n_removed"], r["words_removed"]) for r in spans.without_repeats(df).collect()]
     assert len(got) == len(rows) and sorted(n for _, n, _ in got) == [0, 0, 0, 4, 4, 4, 4]
     assert sum(w for _, _, w in got) == 4 * 13 and all(n == 4 for d, n, _ in got if d is not None)
+
+
+def test_rows_of_one_document(spark):
+    """Different texts, and equal ones, under one doc_id: what they share stays once, and other documents lose it."""
+    rng = random.Random(12)
+    shared, other = prose(rng, 60), prose(rng, 60)
+    texts = [f"{prose(rng, 30)} {shared} {prose(rng, 30)}", f"{shared} {prose(rng, 30)}", f"{prose(rng, 25)} {shared}"]
+    rows = [(2, t) for t in texts] + [(2, texts[0]), (3, other), (3, other), (9, f"{shared} {other}"), (None, "alone")]
+    found = spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    left = [(r["doc_id"], r["text"]) for r in found]
+    middle = lambda text: " ".join(text.split()[15:-15])
+    assert sum(middle(shared) in t for _, t in left) == 1 and sum(middle(other) in t for _, t in left) == 1
+    assert next(d for d, t in left if middle(shared) in t) == 2 and next(d for d, t in left if middle(other) in t) == 3
+    assert sum(r["words_removed"] == 0 for r in found) == 3
+
+
+# the whole rule, with nothing of the module but its numbers
+
+M = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    letters = [b + 32 if 65 <= b <= 90 else b for b in word]
+    return mix(sum(mix((b + 1) * 0x9E3779B97F4A7C15 & M) * ((mix((1001 + (i & 1023)) * 0x9E3779B97F4A7C15 & M) | 1) + (i >> 10 << 1)) for i, b in enumerate(letters)) & M)
+
+
+def plain_units(text):
+    """Bytes, and units of (first byte, words, hashes, begins a sentence)."""
+    data = (text or "").encode()
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    out, now = [], []
+    for k, (at, w) in enumerate(words):
+        now.append((at, w, word_hash(w)))
+        behind = data[at + len(w) : words[k + 1][0]] if k + 1 < len(words) else b""
+        if k + 1 == len(words) or b"\n" in behind or w[-1:] in b".!?" or (w[-1:] in b"\"')]" and len(w) > 1 and w[-2:-1] in b".!?"):
+            out.append(now)
+            now = []
+    units = []
+    for sentence in out:
+        if len(sentence) <= 12:
+            units.append((sentence, True))
+            continue
+        parts, now = [], []
+        for x in sentence:
+            now.append(x)
+            if x[2] % 6 == 0:
+                parts.append(now)
+                now = []
+        for part in [*parts, now] if now else parts:
+            cuts = set()
+            for i in range(len(part) - 11):
+                least = min(x[2] for x in part[i : i + 12])
+                cuts.add(max(j for j in range(i, i + 12) if part[j][2] == least))
+            begin = 0
+            for c in sorted(cuts | {len(part) - 1}):
+                units.append((part[begin : c + 1], begin == 0))
+                begin = c + 1
+    return data, units
+
+
+def shortest(sizes):
+    """(i, j) of the shortest run of three items and twelve words from each item on."""
+    out = []
+    for i in range(len(sizes)):
+        j = i + 3
+        while j <= len(sizes) and sum(sizes[i:j]) < 12:
+            j += 1
+        if j <= len(sizes):
+            out.append((i, j))
+    return out
+
+
+def plain_runs(units):
+    begin = [k for k, (_, w) in enumerate(units) if w]
+    edge = [*begin, len(units)]
+    size = [len(words) for words, _ in units]
+    coarse = [(edge[i], edge[j]) for i, j in shortest([sum(size[a:b]) for a, b in zip(edge, edge[1:], strict=False)])]
+    chosen = set(coarse)
+    for i, j in shortest(size):
+        following = [run for run in coarse if run[0] >= i]
+        if not following or sum(size[i : following[0][1]]) > 25:
+            chosen.add((i, j))
+    return sorted(chosen)
+
+
+def plain_repeats(rows):
+    seen, out = set(), {}
+    for doc, text in sorted(rows):
+        data, units = plain_units(text)
+        gone, own = set(), set()
+        for i, j in plain_runs(units):
+            run = tuple(w.lower() for words, _ in units[i:j] for _, w, _ in words)
+            if run in seen or run in own:
+                gone.update(range(i, j))
+            own.add(run)
+        seen |= own
+        begin = [k for k, (_, w) in enumerate(units) if w]
+        lost = sum(any(k in gone for k in range(a, b)) for a, b in zip(begin, [*begin[1:], len(units)], strict=False))
+        edge = [0, *(words[0][0] for words, _ in units[1:]), len(data)]
+        kept = b"".join(data[a:b] for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if k not in gone).decode()
+        out[doc] = (len(begin), lost, sum(len(units[k][0]) for k in gone), kept if gone else text)
+    return out
+
+
+@pytest.mark.parametrize("stops", [0, 0.05, 0.25])
+def test_the_whole_rule_against_brute_force(spark, stops):
+    rng = random.Random(int(stops * 100))
+    names = [f"{rng.choice(['x', 'Yy', 'zé'])}{k}" for k in range(400)] + ["same"]
+    some = lambda n: " ".join(rng.choice(names) + (rng.choice([".", "?", '."']) if rng.random() < stops else "") + ("\n" if rng.random() < stops / 5 else "") for _ in range(n))
+    passages = [some(n) for n in (13, 20, 51, 51, 90, 200)] + ["same " * 40]
+    texts = [*ODD, *passages]
+    texts += [f"{some(rng.randrange(40))} {rng.choice(passages)} {some(rng.randrange(40))} {rng.choice(passages)} {some(rng.randrange(9))}" for _ in range(60)]
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["words_removed"], r["text"]) for r in spans.without_repeats(documents(spark, texts)).collect()}
+    want = plain_repeats(list(enumerate(texts)))
+    assert got == want and sum(w[2] > 0 for w in want.values()) > 40
