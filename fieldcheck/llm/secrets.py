@@ -21,22 +21,49 @@ KINDS = ("assign", "access", "hex", "owned")
 EXAMPLE_OWNERS = 3
 
 
+#: Items of a list that are run through at once; see ``_running``.
+_BLOCK = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, merge) -> Column:
+    """array<int>: each item merged with all before it.
+
+    A list can only be grown by copying it, so blocks of _BLOCK items are run through, then the last ones of the blocks, and those are merged
+    into the block behind: for n items about n * _BLOCK + (n / _BLOCK) ** 2 steps.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(items):
+        return F.aggregate(items, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(merge(F.get(acc, F.size(acc) - 1), x)))))
+
+    def blocks(v):
+        number = F.floor((F.size(v) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), number), lambda b: run(F.slice(v, b * _BLOCK + 1, _BLOCK)))
+
+    def joined(bs):
+        before = run(F.transform(bs, lambda b: F.get(b, F.size(b) - 1)))
+        own = lambda b, i, ends: F.when(i == 0, b).otherwise(_let(F.get(ends, i - 1), lambda end: F.transform(b, lambda x: merge(end, x))))
+        return _let(before, lambda ends: F.flatten(F.transform(bs, lambda b, i: own(b, i, ends))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(_let(blocks(v), joined)))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of all matches: pieces between matches and matches give the offsets."""
+    kind = "array<struct<start: int, value: string>>"
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    step = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    empty = F.lit(None).cast("array<struct<start: int, value: string>>")
-    walk = F.aggregate(
-        F.filter(step, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, value: string>>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["all"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    return F.coalesce(F.when(text.rlike(pattern), walk), F.coalesce(empty, F.array().cast("array<struct<start: int, value: string>>")))
+
+    def placed(values):
+        steps = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(values), F.lit(0))), values, lambda g, v: g + F.length(v))
+        return _let(_running(steps, lambda a, b: a + b), lambda ends: F.zip_with(values, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), v.alias("value"))).cast(kind))
+
+    return F.when(text.rlike(pattern), _let(found, placed)).otherwise(F.array().cast(kind))
 
 
 def _spans(text: Column, kind: int, pattern: str, value, keep) -> Column:
@@ -108,9 +135,13 @@ def secret_spans(docs: DataFrame, doc: str = "doc_id", owner: str = "source", re
             )
         ).alias("judged")
     )
-    base = F.filter("judged", lambda s: s["kind"] < 3)
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter("judged", lambda s: (s["kind"] < 3) | (s["sole"] & free(s)))
+    # spans are sorted, so a run overlaps a base span if one before it ends behind its start, or the next one starts before its end
+    ends = _running(F.transform("judged", lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(-1)), F.greatest)
+    starts = F.reverse(_running(F.reverse(F.transform("judged", lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(2**31 - 1))), F.least))
+    free = lambda s, i, before, ahead: (F.get(before, i) <= s["start"]) & (F.get(ahead, i) >= s["end"])
+    own = lambda before, ahead: F.filter("judged", lambda s, i: (s["kind"] < 3) | (s["sole"] & free(s, i, before, ahead)))
+    some = F.exists("judged", lambda s: s["sole"] & (s["kind"] == 3))
+    kept = F.when(some, _let(ends, lambda before: _let(starts, lambda ahead: own(before, ahead)))).otherwise(F.filter("judged", lambda s: s["kind"] < 3))
     final = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["live"].alias("live")))
     empty = F.array().cast("array<struct<start: int, kind: int, end: int, live: boolean>>")
     return rows.select("doc", "row").join(judged, "row", "left").select(
@@ -128,16 +159,23 @@ def masked(docs: DataFrame, mask: str, owner: str = "source", repository: str =
     found = secret_spans(docs, doc="_key", owner=owner, repository=repository, name="masking")
     live = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     found = found.select("_key", live.alias("_live")).where("size(_live) > 0").dropDuplicates(["_key"])
-    # text up to each span, but not before the end of an earlier one; nothing for a span that lies within an earlier one
-    walk = F.aggregate(
-        "_live",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
-    )
+    # each span has the text between it and the end of those before it; a span that starts before that end adds none
+    reach = _running(F.transform("_live", lambda s: s["end"]), F.greatest)
+    kind = "array<struct<at: int, start: int>>"
+    pieces = lambda ends: F.filter(F.transform("_live", lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("at"), s["start"].alias("start"))), lambda c: c["start"] >= c["at"]).cast(kind)
+
+    def cut(some):
+        """Texts of a block of pieces, out of the stretch of text that they lie in, as a piece is found by counting from the start."""
+        first = F.get(some, F.lit(0))["at"]
+        stretch = F.substring(F.col("text"), first + 1, F.get(some, F.size(some) - 1)["start"] - first)
+        return _let(stretch, lambda part: _let(first, lambda at: F.transform(some, lambda c: F.substring(part, c["at"] - at + 1, c["start"] - c["at"]))))
+
+    def put_together(ends):
+        tail = F.substring(F.col("text"), F.get(ends, F.size(ends) - 1) + 1, F.length("text"))
+        blocks = lambda cs: F.transform(F.sequence(F.lit(0), F.floor((F.size(cs) - 1) / _BLOCK).cast("int")), lambda b: cut(F.slice(cs, b * _BLOCK + 1, _BLOCK)))
+        return F.array_join(F.concat(_let(pieces(ends), lambda cs: F.flatten(blocks(cs))), F.array(tail)), mask)
+
+    walk = _let(reach, put_together)
     return docs.join(found, "_key", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(walk)).drop("_key", "_live")
 
 
