@@ -22,6 +22,8 @@ ROWS, MISSED = 5, 1e-6
 #: Largest blocks: sketches compared at once; documents and shingles confirmed at once.
 SKETCHES, DOCUMENTS, SHINGLES = 4096, 1024, 2_000_000
 _EMPTY = 255
+#: Stands for a missing doc_id, behind all others.
+NO_ID = 2**63 - 1
 
 
 def band_count(threshold: float) -> int:
@@ -83,12 +85,13 @@ def _sketched(words: int, m: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x for x, _ in marks], pa.int64()),
                     pa.array([x for _, x in marks], pa.int64()),
                     pa.array([r.tobytes() for r in registers(sets, m)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "sketch"],
+                names=["doc_id", "mark", "n_shingles", "h1", "h2", "sketch"],
             )
 
     return run
@@ -121,7 +124,9 @@ def _likely(m: int, threshold: float):
                         equal += (x[:, None] == y[None, :]) & (x != _EMPTY)[:, None]
                     used = m - (regs[part] == _EMPTY).astype(np.float32) @ (regs[right] == _EMPTY).astype(np.float32).T
                     p, q = np.nonzero(_near(equal, used, n[part][:, None], n[right][None, :], m, threshold))
-                    found.append((part[p], right[q]))
+                    star = min_labels(int(sizes[g]), part[p] - starts[g], right[q] - starts[g])  # as many links as rows, not as pairs
+                    hung = np.flatnonzero(star != np.arange(len(star)))
+                    found.append((hung + starts[g], star[hung] + starts[g]))
             if found:
                 root = min_labels(len(ids), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
                 own = np.flatnonzero(ids != ids[root])
@@ -186,21 +191,11 @@ def _confirmed(words: int, num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+def judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, first) for every row of ``docs`` (doc_id, text).
 
-    Documents are linked if their sets of distinct ``words``-word shingles have a Jaccard similarity of
-    at least num / den. Words are what lies between space and the control characters 9 to 13, A-Z as
-    a-z. A document of fewer words has its whole sequence as its one shingle; one without words (or a
-    null text) is linked with nothing. component_id is the smallest doc_id reachable by links, kept
-    says whether that is the document itself.
-
-    Rows with equal sets become one class, so exact copies cost nothing further. Classes that share a
-    band of registers are compared by their registers, in blocks; what the estimate can't rule out
-    falls into one cluster, and within clusters links are confirmed on full shingle sets, in blocks too.
-    Blocks return stars, not pairs. A pair at the threshold shares no band with a chance below MISSED;
-    nothing is capped. Rows that repeat a doc_id are judged each by its own text. A null doc_id is
-    linked with nothing and kept. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    mark is a hash of the text, which with doc_id stands for a row; rows equal in both are judged alike. component_id is the smallest doc_id
+    of the row's group, first the smallest (doc_id, mark) of it; both are the row's own where it is linked with nothing. See ``near_duplicates``.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,15 +204,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     bands = band_count(threshold)
     m = bands * ROWS
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = docs.mapInArrow(_sketched(words, m), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", marked())
+    sketches = docs.mapInArrow(_sketched(words, m), "doc_id long, mark long, n_shingles long, h1 long, h2 long, sketch binary")
     sketches = scratch.table(sketches, "documents")
+    sound = F.expr("n_shingles > 0 and doc_id is not null")
     classes = (
-        sketches.where("n_shingles > 0 and doc_id is not null")
+        sketches.where(sound)
         .groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     )
-    classes = scratch.table(classes, "classes")
+    # numbers of rows hold only where they are stored
+    classes = scratch.table(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
 
     def key(b: int):
         parts = [F.substring("sketch", 1 + half * m + b * ROWS, ROWS) for half in (0, 1)]
@@ -234,21 +231,71 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     clusters = connected_components(likely, scratch, "likely")
     clusters = clusters.select(F.col("node").alias("class_id"), F.col("component").alias("cluster"))
 
-    of = clusters.join(classes.select("class_id", "n"), "class_id")
+    of = clusters.join(classes.select("class_id", "n", "least.doc_id", "least.mark"), "class_id")
     sizes = of.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / DOCUMENTS), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")
     )
-    texts = clusters.join(sizes, "cluster").join(docs.withColumnRenamed("doc_id", "class_id"), "class_id")
-    texts = with_block_pairs(texts, F.col("blocks"), F.col("class_id")).drop("blocks")
+    # a class needs one text; rows equal in doc_id and mark are rare, and only those are looked through for one
+    several = scratch.table(sketches.where(sound).groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where(F.col("rows") > 1).drop("rows"), "several")
+    wanted = of.select("class_id", "cluster", "doc_id", "mark").join(sizes, "cluster")
+    single = wanted.join(docs.join(several, ["doc_id", "mark"], "left_anti"), ["doc_id", "mark"])
+    other = wanted.join(docs.join(several, ["doc_id", "mark"], "left_semi"), ["doc_id", "mark"]).dropDuplicates(["class_id"])
+    texts = with_block_pairs(single.unionByName(other).drop("doc_id", "mark"), F.col("blocks"), F.col("class_id")).drop("blocks")
     links = dealt(texts, "cluster", "bi", "bj").mapInArrow(_confirmed(words, num, den), "a long, b long")
     components = connected_components(links, scratch, "links")
 
-    known = classes.select("h1", "h2", "class_id").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
-    known = known.select("h1", "h2", F.coalesce("component", "class_id").alias("component_id"))
-    found = sketches.where("n_shingles > 0 and doc_id is not null").drop("sketch").join(known, ["h1", "h2"])
-    rest = sketches.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    out = found.select("doc_id", "n_shingles", "component_id").unionByName(rest.select("doc_id", "n_shingles", "component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    known = classes.select("h1", "h2", "class_id", "least").join(components.withColumnRenamed("node", "class_id"), "class_id", "left")
+    known = known.withColumn("component", F.coalesce("component", "class_id"))
+    first = known.groupBy("component").agg(F.min("least").alias("first"))
+    known = known.join(first, "component").select("h1", "h2", "first")
+    found = sketches.where(sound).drop("sketch").join(known, ["h1", "h2"])
+    rest = sketches.where(~sound).withColumn("first", F.struct("doc_id", "mark"))
+    out = found.select("doc_id", "mark", "n_shingles", "first").unionByName(rest.select("doc_id", "mark", "n_shingles", "first"))
+    return out.select("doc_id", "mark", "n_shingles", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def marked():
+    """A hash of the text, null and empty ones alike."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    Documents are linked if their sets of distinct ``words``-word shingles have a Jaccard similarity of
+    at least num / den. Words are what lies between space and the control characters 9 to 13, A-Z as
+    a-z. A document of fewer words has its whole sequence as its one shingle; one without words (or a
+    null text) is linked with nothing. component_id is the smallest doc_id reachable by links, kept
+    says whether that is the document itself.
+
+    Rows with equal sets become one class, numbered apart from doc_ids, so exact copies cost nothing further. Classes that share a
+    band of registers are compared by their registers, in blocks; what the estimate can't rule out
+    falls into one cluster, and within clusters links are confirmed on full shingle sets, in blocks too.
+    Blocks return stars, not pairs. A pair at the threshold shares no band with a chance below MISSED;
+    nothing is capped. Rows that repeat a doc_id are judged each by its own text. A null doc_id is
+    linked with nothing and kept. Other columns of ``docs`` are ignored; an empty table gives no rows.
+    """
+    out = judged(docs, words, num, den)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id, of several such rows that of the smallest hash of its text.
+
+    Decisions are by row, so different texts of one doc_id go or stay each by its own group, and of rows equal in doc_id and text one stays. Rows without a doc_id come behind
+    all others. Rows without words are linked with nothing and all stay.
+    """
+    columns, keys = docs.columns, ["_near_doc", "_near_mark"]
+    rows = docs.withColumn(keys[0], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(keys[1], marked())
+    found = judged(rows.select(F.col(keys[0]).alias("doc_id"), "text"), words, num, den)
+    own = F.first(F.struct("doc_id", "mark") == F.col("first")).alias("_near_stays")
+    stays = found.where("n_shingles > 0").groupBy("doc_id", "mark").agg(own, F.count("*").alias("copies")).where("not _near_stays or copies > 1")
+    scratch = Scratch(docs.sparkSession, "kept")
+    stays = scratch.table(stays.select(F.col("doc_id").alias(keys[0]), F.col("mark").alias(keys[1]), "_near_stays"), "marks")
+    several = scratch.table(stays.where("_near_stays"), "several")
+    alone = rows.join(stays, keys, "left_anti").select(*columns)
+    copies = rows.join(several, keys, "left_semi").dropDuplicates(keys)
+    return alone.unionByName(copies.select(*columns))
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

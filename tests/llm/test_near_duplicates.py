@@ -125,3 +125,43 @@ def test_kmeans_cells_are_unit_and_cover():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     c = embeddings.spherical_kmeans(x, 7)
     assert np.allclose(np.linalg.norm(c, axis=1), 1) and len(np.unique((x @ c.T).argmax(1))) == 7
+
+
+def test_given_labels_go_through_several_cells(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    classes = rows.select(F.col("label").cast("long").alias("label"), F.lit(64).cast("long").alias("dim"), F.col("vec_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vec"))
+    cells = embeddings.in_cells(classes, 0.93)
+    counts = cells.groupBy("label").agg(F.countDistinct("cell").alias("cells"), F.count_if("home").alias("homes")).collect()
+    assert len(counts) == 10 and all(r["cells"] >= 2 for r in counts) and sum(r["homes"] for r in counts) == rows.count()
+
+
+def test_a_hub_is_split(spark):
+    """The neighbours of one node meet in several tasks, and components are those of the whole graph."""
+    hub = spark.range(1, 6001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    scratch = Scratch(spark, "hub")
+    near = graph._with_least(hub.unionByName(hub.select(F.col("v").alias("u"), F.col("u").alias("v"))), scratch, "x")
+    assert near.where("u = 0").agg(F.count("*"), F.max("m")).first() == (6000, 1) and near.where("u > 0 and m <> 0").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = graph._with_least(hub, scratch, "y")
+        sizes = [r["count"] for r in near.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) > 1 and max(sizes) <= 6000 - graph.HUB // 2
+    chain = spark.range(6000, 6010).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graph.connected_components(hub.toDF("a", "b").unionByName(chain), scratch, "z")
+    assert found.count() == 6011 and found.where("component <> 0").count() == 0
+
+
+def test_rows_of_one_id_are_kept_by_their_own_group(spark):
+    rng = random.Random(7)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, edited(rng, b, 1)), (9, "alone in the world"), (9, "alone in the world"), (None, a), (None, "x y z"), (None, "x y z"), (3, ""), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_doc": F.lit(1), "stays": F.lit(None), "n": F.lit(2)}).repartition(3)
+    got = sorted((tuple(r) for r in minhash.deduplicated(docs).select("doc_id", "text").collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (9, "alone in the world"), (None, "x y z"), (3, ""), (3, ""), (3, None)], key=repr)
+    judged = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert judged >= {(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 5, False)}
+    assert minhash.deduplicated(docs.where("false")).count() == 0
