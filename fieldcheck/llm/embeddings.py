@@ -17,7 +17,7 @@ from .scratch import Scratch
 from .tables import table
 
 #: Vectors that a cell aims at, most cells of a label, vectors that one label's centroids are fitted on.
-CELL, CELLS, FIT = 2048, 64, 8192
+CELL, CELLS, FIT = 512, 1024, 16384
 #: Vectors in a block, and in a task that assigns cells.
 BLOCK, ASSIGN = 1024, 8192
 
@@ -112,6 +112,28 @@ def _compared(cosine: float):
     return run
 
 
+def in_cells(classes: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, cell, home, class_id, copies, vec): each class of ``classes`` (label, dim, class_id, copies, vec) in its own cell, and in each later cell that may hold a partner.
+
+    A label has about as many cells as vectors fill blocks of CELL, two from two classes on, but no more than the square root of their number, and CELLS at most. More cells would pay only where vectors
+    lie in clusters: the given ones hardly do, and with the square root as the number each would be copied to 30 of 71 cells, for no fewer products.
+    """
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    cells = F.least(F.lit(CELLS), F.ceil(F.sqrt("n")), F.greatest(F.lit(2), F.ceil(F.col("n") / CELL)))
+    sizes = sizes.withColumn("k", cells).withColumn("parts", F.ceil(F.col("n") / ASSIGN))
+    picked = classes.join(sizes.where("k > 1"), ["label", "dim"]).where(F.expr(f"pmod(xxhash64(class_id), n) < {FIT}"))
+    centres = picked.groupBy("label", "dim").applyInPandas(_fitted, "label long, dim long, cell long, centre array<double>")
+
+    sent = classes.join(sizes.select("label", "dim", "parts"), ["label", "dim"]).withColumn("part", F.expr("pmod(xxhash64(class_id, 1), parts)")).drop("parts")
+    centres = centres.join(sizes.select("label", "dim", "parts"), ["label", "dim"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+    keys = ["label", "dim", "part"]
+    angle = math.sin(math.acos(cosine)) if cosine > 0 else 1.0
+    return sent.groupBy(*keys).cogroup(centres.groupBy(*keys)).applyInPandas(
+        _assigned(angle),
+        f"label long, dim long, cell long, home boolean, class_id long, copies long, vec {classes.schema['vec'].dataType.simpleString()}",
+    )
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -121,7 +143,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFram
     other rows linked directly, equal rows included; component_id is the smallest vec_id reachable, kept says
     whether that is the row's own. A null vec_id is linked with nothing and kept.
 
-    Equal vectors become one class with a number of copies. In each label of more than CELL classes,
+    Equal vectors become one class with a number of copies. In each label of two classes or more,
     spherical k-means is fitted on at most about FIT of them (the smallest hashes); every class then goes
     to its cell and to each other cell that the angle between it and the boundary doesn't rule out, so no
     link is lost. Within a cell, blocks of about BLOCK vectors are compared by one product each; tasks return counts
@@ -138,20 +160,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFram
     classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
     classes = scratch.table(classes.withColumn("dim", F.size("vec").cast("long")), "classes")
 
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("k", F.least(F.lit(CELLS), F.ceil(F.col("n") / CELL))).withColumn("parts", F.ceil(F.col("n") / ASSIGN))
-    picked = classes.join(sizes.where("k > 1"), ["label", "dim"]).where(F.expr(f"pmod(xxhash64(class_id), n) < {FIT}"))
-    centres = picked.groupBy("label", "dim").applyInPandas(_fitted, "label long, dim long, cell long, centre array<double>")
-
-    sent = classes.join(sizes.select("label", "dim", "parts"), ["label", "dim"]).withColumn("part", F.expr("pmod(xxhash64(class_id, 1), parts)")).drop("parts")
-    centres = centres.join(sizes.select("label", "dim", "parts"), ["label", "dim"]).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
-    keys = ["label", "dim", "part"]
-    angle = math.sin(math.acos(cosine)) if cosine > 0 else 1.0
-    assigned = sent.groupBy(*keys).cogroup(centres.groupBy(*keys)).applyInPandas(
-        _assigned(angle),
-        f"label long, dim long, cell long, home boolean, class_id long, copies long, vec {vectors.schema['vec'].dataType.simpleString()}",
-    )
-    assigned = scratch.table(assigned, "assigned")
+    assigned = scratch.table(in_cells(classes, cosine), "assigned")
 
     blocks = assigned.groupBy("label", "dim", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).alias("nh"), F.ceil(F.sum((~F.col("home")).cast("long")) / BLOCK).alias("nv")
