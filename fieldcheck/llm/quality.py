@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 from .shingles import text_buffer, word_hashes
 from .tables import table
 
@@ -92,14 +93,27 @@ class Discriminant:
     log_odds: float
     count: int = 1
 
+    @cached_property
+    def whitening(self) -> tuple[np.ndarray, np.ndarray]:
+        """Inverses of the factors, by forward substitution; they turn a deviation into one of unit covariance."""
+        out = []
+        for factor in self.factors:
+            inverse = np.zeros_like(factor)
+            for k in range(len(factor)):
+                unit = np.zeros(len(factor))
+                unit[k] = 1
+                inverse[k] = (unit - factor[k, :k] @ inverse[:k]) / factor[k, k]
+            out.append(inverse)
+        return tuple(out)
+
     def standardised(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.scale, -REACH, REACH)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, higher where class 1 is likelier."""
         z, density = self.standardised(x), []
-        for mean, factor in zip(self.means, self.factors, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
+        for mean, factor, white in zip(self.means, self.factors, self.whitening, strict=True):
+            y = white @ (z - mean).T
             density.append(-0.5 * (y * y).sum(0) - np.log(np.diag(factor)).sum())
         logit = (density[1] - density[0] + self.log_odds) / TEMPERATURE
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
@@ -145,9 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Discriminant:
     with the smallest, labels other than 0 and 1 are left out. A class without rows takes the pooled moments, and without any
     labels every score is 0.5.
     """
-    stats = docs.select("doc_id", "text").where("doc_id is not null").where(~held_out(F.col("doc_id")))
+    return fit_measured(measured(docs.where("doc_id is not null").where(~held_out(F.col("doc_id")))), labels)
+
+
+def fit_measured(stats: DataFrame, labels: DataFrame) -> Discriminant:
+    """``fit`` on the statistics of ``measured`` documents."""
+    stats = stats.where("doc_id is not null").where(~held_out(F.col("doc_id")))
     labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
-    stats = stats.mapInArrow(_with_statistics, "doc_id long, stats array<double>").join(labels, "doc_id").select("stats", "quality")
+    stats = stats.join(labels, "doc_id").select("stats", "quality")
     stats = stats.persist()
     try:
         raw = _summed(stats)
@@ -176,6 +195,23 @@ def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(list(statistics(batch.column("text"))), pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, stats) of every row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_with_statistics, "doc_id long, stats array<double>")
+
+
+def scored_measured(stats: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score) of ``measured`` documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("stats").flatten().to_numpy().reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+
+    return stats.mapInArrow(run, "doc_id long, score double")
+
+
 def held_out(doc_id):
     """Whether a document's label is never learnt from."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
@@ -201,10 +237,10 @@ THRESHOLD = 0.7
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model fitted on the labels that are not held out."""
-    small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).select(
+    # the statistics of a text are a few per cent of its size; they are computed once, for the fit and for the scores
+    stats = Scratch(spark, "quality").table(measured(table(spark, sf_dir, "documents")), "statistics")
+    model = fit_measured(stats, table(spark, sf_dir, "labels"))
+    return scored_measured(stats, model).select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
