@@ -30,11 +30,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity of 0.8): the one of the smallest doc_id.
 
-    Rows without a doc_id stay; rows of one doc_id go or stay together.
+    Each row is judged by its own text, so different texts of one doc_id stay, and of equal rows one does; rows without a doc_id come behind all others.
     """
-    judged = minhash.near_duplicates(docs, words=5, num=80, den=100)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.deduplicated(docs, words=5, num=80, den=100).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
