@@ -7,13 +7,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled_pages import PAGES, SEED, labelled_pages
+from .labelled_pages import LAYOUTS, PAGES, SEED, labelled_pages
 from .scratch import small_batches
 from .tables import table
 
@@ -194,6 +195,33 @@ def features(block: Block) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _size(words: float) -> int:
+    return min(6, int(math.log2(words + 1)))
+
+
+def page_features(page: list[Block]) -> list[list[str]]:
+    """Features of all blocks of a page: their own, and what carries over to layouts with other elements and names: length and links of
+    the blocks around, and the place in the page."""
+    words = [b.text.count(" ") + 1 for b in page]
+    upto, linked = [0], [0.0]
+    for n, b in zip(words, page, strict=True):
+        upto.append(upto[-1] + n)
+        linked.append(linked[-1] + n * b.linked)
+    out = []
+    for k, b in enumerate(page):
+        lo, hi = max(0, k - 2), min(len(page), k + 3)
+        around = upto[hi] - upto[lo]
+        more = (
+            f"before={_size(words[k - 1]) if k else 'none'}",
+            f"after={_size(words[k + 1]) if k + 1 < len(page) else 'none'}",
+            f"around={_size(around / (hi - lo))}",
+            f"around_linked={int((linked[hi] - linked[lo]) / around * 3)}",
+            f"place={k * 5 // len(page)}",
+        )
+        out.append([*features(b), *more])
+    return out
+
+
 @dataclass(frozen=True)
 class Field:
     """Weights of label 1 by feature; moves[a, b] and first[b] weigh label b after label a and at the start."""
@@ -210,10 +238,9 @@ class Field:
         weight = self.weights.get
         (m00, m01), (m10, m11) = self.moves.tolist()
         back = []
-        e = sum(weight(f, 0.0) for f in features(page[0]))
-        s0, s1 = float(self.first[0]), float(self.first[1]) + e
-        for b in page[1:]:
-            e = sum(weight(f, 0.0) for f in features(b))
+        emit = [sum(weight(f, 0.0) for f in own) for own in page_features(page)]
+        s0, s1 = float(self.first[0]), float(self.first[1]) + emit[0]
+        for e in emit[1:]:
             from0, from1 = s1 + m10 > s0 + m00, s1 + m11 > s0 + m01
             back.append((from0, from1))
             s0, s1 = (s1 + m10 if from0 else s0 + m00), (s1 + m11 if from1 else s0 + m01) + e
@@ -231,7 +258,7 @@ def train(pages: list[tuple[str, list[tuple[str, int]]]], rounds: int = 200, rat
     Every page is a list of blocks with labels; blocks() must find the same texts.
     """
     seen = [blocks(h) for h, _ in pages]
-    names = sorted({f for page in seen for b in page for f in features(b)})
+    names = sorted({f for page in seen for own in page_features(page) for f in own})
     place = {f: k for k, f in enumerate(names)}
     n, length = len(seen), max(map(len, seen))
     x = np.zeros((n, length, len(names)), np.float32)
@@ -240,8 +267,8 @@ def train(pages: list[tuple[str, list[tuple[str, int]]]], rounds: int = 200, rat
         clean = [(_SPACE.sub(" ", t).strip(), k) for t, k in labels]
         if [b.text for b in page] != [t for t, _ in clean]:
             raise ValueError("blocks of a labelled page don't agree with its labels")
-        for t, (b, (_, k)) in enumerate(zip(page, clean, strict=True)):
-            x[p, t, [place[f] for f in features(b)]] = 1
+        for t, (own, (_, k)) in enumerate(zip(page_features(page), clean, strict=True)):
+            x[p, t, [place[f] for f in own]] = 1
             y[p, t], there[p, t] = k, True
     flat = x[there]
     theta = np.zeros(len(names) + 6)
@@ -296,8 +323,13 @@ def extracted(pages: DataFrame, field: Field) -> DataFrame:
     return pages.mapInArrow(run, f"{schema}text string")
 
 
+@lru_cache(maxsize=1)
+def standard_field() -> Field:
+    """The field trained on PAGES labelled pages of all LAYOUTS, once per process."""
+    return train(labelled_pages(PAGES, SEED, LAYOUTS))
+
+
 def op10_html_extraction(spark, sf_dir: str) -> DataFrame:
     """Main text of all pages, by a field trained on a fixed number of labelled pages."""
-    field = train(labelled_pages(PAGES, SEED))
-    out = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), field)
+    out = extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), standard_field())
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -5,18 +5,31 @@ from __future__ import annotations
 import random
 
 #: Pages made, and the seed of their making.
-PAGES, SEED = 400, 11
+PAGES, SEED = 600, 11
 
 MAIN, REST = 1, 0
 _SYLLABLES = "an ti re on ed the st er sh ing of ou le que ver sch ung ich ado mente ción eur ble in to ka mo su li dor".split()
 _MENU = "Home News About Contact Login Search Help Archive Products Sports Travel Shop Blog Terms Privacy Subscribe".split()
 
 
+#: Layouts of pages: elements that say what they hold, plain elements with telling names, plain elements without, and any of the first two.
+TAGS, NAMES, BARE, MIXED = "tags", "names", "bare", "mixed"
+#: Layouts that the extractor is trained on, in turn.
+LAYOUTS = (MIXED, MIXED, MIXED, BARE)
+
+
 class _Maker:
-    def __init__(self, rng: random.Random) -> None:
+    def __init__(self, rng: random.Random, layout: str = MIXED) -> None:
         self.rng = rng
+        self.layout = layout
         self.blocks: list[tuple[str, int]] = []  # text and label of each block in page order
 
+    def element(self, choices: list[str]) -> str:
+        """One of several elements that may hold something, as the layout allows."""
+        plain = [c for c in choices if c.startswith("div")] or ["div"]
+        telling = [c for c in choices if not c.startswith("div") and "=" not in c] or choices
+        return self.rng.choice({TAGS: telling, NAMES: plain, BARE: ["div", "div", "section"], MIXED: choices}[self.layout])
+
     def words(self, low: int, high: int) -> str:
         r = self.rng
         style = r.random()
@@ -52,6 +65,8 @@ class _Maker:
 
     def named(self, words: list[str]) -> str:
         r = self.rng
+        if self.layout == BARE:
+            return ""
         name = r.choice(words) + r.choice(["", "", "-box", "-wrap", "-1", "_area", " clearfix"])
         return r.choice([f' class="{name}"', f' id="{name}"', f' class="x {name}"'])
 
@@ -59,14 +74,16 @@ class _Maker:
         r = self.rng
         # an item may be any word, even of a running text
         items = "".join(f"<li>{self.link(REST, r.choice([None, self.words(1, 1).split()[0]]))}</li>" for _ in range(r.randint(2, 12)))
-        return r.choice(["<nav><ul>{}</ul></nav>", f"<div{self.named(['menu', 'nav', 'navbar', 'breadcrumb', 'topnav'])}><ul>{{}}</ul></div>", "<nav>{}</nav>"]).format(items)
+        name = f"div{self.named(['menu', 'nav', 'navbar', 'breadcrumb', 'topnav'])}"
+        name = self.element(["nav", name, "nav"])
+        return f"<{name}>{r.choice(['<ul>{}</ul>', '<ul>{}</ul>', '{}']).format(items)}</{name.split()[0]}>"
 
     def header(self) -> str:
-        name = self.rng.choice(["header", f"div{self.named(['header', 'masthead', 'topbar', 'banner', 'site-header'])}"])
+        name = self.element(["header", f"div{self.named(['header', 'masthead', 'topbar', 'banner', 'site-header'])}"])
         return f"<{name}><h2>{self.block(1, 5, REST)}</h2><p>{self.block(2, 12, REST)}</p></{name.split()[0]}>"
 
     def footer(self) -> str:
-        name = self.rng.choice(["footer", "footer", f"div{self.named(['footer', 'copyright', 'legal', 'bottom', 'site-footer'])}"])
+        name = self.element(["footer", "footer", f"div{self.named(['footer', 'copyright', 'legal', 'bottom', 'site-footer'])}"])
         text = "© site.example.net · " + self.words(3, 20)
         self.blocks.append((text, REST))
         shown = text.replace("&", "&amp;").replace("©", "&copy;").replace("·", "&middot;")
@@ -77,7 +94,7 @@ class _Maker:
         return f"<div{self.named(names)}>{self.any_length(REST)}</div>"
 
     def side(self) -> str:
-        name = self.rng.choice(["aside", f"div{self.named(['sidebar', 'side', 'related', 'widget', 'recommended', 'trending'])}"])
+        name = self.element(["aside", f"div{self.named(['sidebar', 'side', 'related', 'widget', 'recommended', 'trending'])}"])
         title = self.block(1, 4, REST)
         rows = "".join(f"<p>{self.any_length(REST)}</p>" for _ in range(self.rng.randint(1, 3)))
         return f"<{name}><h3>{title}</h3>{rows}</{name.split()[0]}>"
@@ -91,7 +108,7 @@ class _Maker:
 
     def comments(self) -> str:
         r = self.rng
-        name = r.choice([f"div{self.named(['comments', 'comment-list', 'discussion', 'replies', 'disqus', 'responses'])}", f"section{self.named(['comments', 'reader-comments'])}"])
+        name = self.element([f"div{self.named(['comments', 'comment-list', 'discussion', 'replies', 'disqus', 'responses'])}", f"section{self.named(['comments', 'reader-comments'])}"])
         leaf = r.choice(["p", "li", f"div{self.named(['comment', 'reply', 'comment-body'])}", "article"])
         title = f"<h3>{self.block(1, 3, REST)}</h3>" if r.random() < 0.5 else ""
         rows = "".join(f"<{leaf}>{self.any_length(REST)}</{leaf.split()[0]}>" for _ in range(r.randint(1, 5)))
@@ -100,7 +117,7 @@ class _Maker:
     def main(self) -> str:
         r = self.rng
         good = ["content", "post", "entry", "story", "article", "article-body", "post-content", "main", "main-content", "text", "body"]
-        name = r.choice(["article"] * 4 + ["main", f"div{self.named(good)}", f"div{self.named(good)}", f"section{self.named(good)}", "div", f"article{self.named(good)}"])
+        name = self.element(["article"] * 4 + ["main", f"div{self.named(good)}", f"div{self.named(good)}", f"section{self.named(good)}", "div", f"article{self.named(good)}"])
         parts = [f"<h1>{self.block(2, 12, MAIN)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.randint(1, 14)):
             kind = r.random()
@@ -132,11 +149,11 @@ class _Maker:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><script>var t='</p>';</script></head><body>{wrap.format(body.replace('{', '(').replace('}', ')'))}</body></html>"
 
 
-def labelled_pages(pages: int = PAGES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int]]]]:
-    """(html, blocks with their labels) of ``pages`` pages, the same for the same seed."""
+def labelled_pages(pages: int = PAGES, seed: int = SEED, layouts: tuple[str, ...] = (MIXED,)) -> list[tuple[str, list[tuple[str, int]]]]:
+    """(html, blocks with their labels) of ``pages`` pages, their layouts in turn, the same for the same seed."""
     rng = random.Random(seed)
     out = []
-    for _ in range(pages):
-        maker = _Maker(rng)
+    for k in range(pages):
+        maker = _Maker(rng, layouts[k % len(layouts)])
         out.append((maker.page(), maker.blocks))
     return out
