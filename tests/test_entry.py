@@ -48,6 +48,20 @@ def test_rest_works_without_the_optional_part(tmp_path):
     assert out.stdout.split() == [str(len(registry.queries())), "False"]
 
 
+def test_a_fault_within_the_optional_part_is_not_hidden(tmp_path):
+    for p in ROOT.rglob("*.py"):
+        rel = p.relative_to(ROOT)
+        if ".git" not in rel.parts and "tests" not in rel.parts:
+            (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / rel).write_text(p.read_text())
+    inner = tmp_path / "fieldcheck/llm/queries.py"
+    if not inner.exists():
+        pytest.skip("the optional part is not there")
+    inner.write_text("import nothing_of_that_name\n" + inner.read_text())
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
+    assert run.returncode and "nothing_of_that_name" in run.stderr
+
+
 def test_nothing_outside_imports_the_optional_part():
     for p in ROOT.rglob("*.py"):
         rel = p.relative_to(ROOT)
