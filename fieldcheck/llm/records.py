@@ -17,6 +17,7 @@ record, int64 document, uint32 number of ids.
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import uuid
@@ -40,6 +41,9 @@ from .vocabulary import default_path, encode_column, gathered
 #: Added to rotated checksums; stands for a null document.
 MASK, NO_ID = 0xA282EAD8, -(2**63)
 _HEAD, _META, _ENTRY = struct.Struct("<QI"), struct.Struct("<qIBB"), struct.Struct("<QQqI")
+_ENTRY_TYPE = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("n_ids", "<u4")])
+#: Bytes of a data file that a shuffled read asks for at once.
+CHUNK = 4 << 20
 #: Pieces of text whose ids a worker remembers, twice: the latest ones and those before them.
 REMEMBERED = 400_000
 #: Marks that may follow a word.
@@ -212,20 +216,48 @@ def write_records(docs: DataFrame, folder: str, content, end_id: int = 2, compre
     return ordered.mapInArrow(run, "part long, path string, docs long, ids long")
 
 
+def shuffled(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number in the file, document, ids) of all records of a data file, found through its index, in a shuffled order that the path decides.
+
+    Stretches of about CHUNK bytes are read in shuffled order, each with one request, and its records taken from it in shuffled order, by their
+    offsets. A record that isn't where the index has it, or isn't the one that the index tells of, is a ValueError.
+    """
+    files, at = opened(path)
+    with files.open_input_stream(f"{at}.idx") as stream:
+        index = np.frombuffer(stream.read(), _ENTRY_TYPE)
+    if not len(index):
+        return
+    order = np.random.default_rng(zlib.crc32(path.rsplit("/", 1)[-1].encode()))
+    chunk = ((index["offset"] - index["offset"][0]) // CHUNK).astype(np.int64)
+    parts = np.split(np.arange(len(index)), np.flatnonzero(np.diff(chunk)) + 1)
+    with files.open_input_file(f"{at}.rec") as data:
+        for k in order.permutation(len(parts)):
+            part = parts[k]
+            low, high = int(index["offset"][part[0]]), int(index["offset"][part[-1]] + index["length"][part[-1]])
+            stretch = memoryview(data.read_at(high - low, low))
+            for n in order.permutation(part):
+                offset, length, doc_id, n_ids = index[n].item()
+                record = read_record(io.BytesIO(stretch[offset - low : offset - low + length]))
+                if record is None:
+                    raise ValueError("no record where the index has one")
+                found, ids = unpacked(record)
+                if (found, len(ids)) != (doc_id, n_ids):
+                    raise ValueError("a record that the index doesn't have")
+                yield int(n), doc_id, ids
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
-            files, at = opened(path)
-            with files.open_input_stream(f"{at}.rec", buffer_size=1 << 20) as stream:
-                rows: list[tuple] = []
-                while (data := read_record(stream)) is not None:
-                    doc_id, ids = unpacked(data)
-                    rows.append((None if doc_id == NO_ID else doc_id, base, len(ids), zlib.crc32(ids.tobytes())))
-                    base += len(ids)
-                    if len(rows) == 4096:
-                        yield _rows(rows)
-                        rows = []
-                yield _rows(rows)
+            sizes = np.array([n for *_, n in read_index(path)], np.int64)
+            start = base + np.cumsum(sizes) - sizes
+            rows: list[tuple] = []
+            for n, doc_id, ids in shuffled(path):
+                rows.append((None if doc_id == NO_ID else doc_id, int(start[n]), len(ids), zlib.crc32(ids.tobytes())))
+                if len(rows) == 4096:
+                    yield _rows(rows)
+                    rows = []
+            yield _rows(rows)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,7 +266,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record of the manifest's files, checksums verified.
+    """(doc_id, start, n_tokens, ids_crc32) of every record of the manifest's files, read through their indexes in shuffled order, checksums verified.
 
     start counts the ids of all records before it. Only the number of ids of each file is summed up
     across files.

@@ -300,6 +300,26 @@ def test_records_find_damage(spark, tmp_path):
         records.read_record(io.BytesIO(bytes(data[:5])))
 
 
+def test_reading_goes_by_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK", 2000)
+    rng = random.Random(2)
+    rows = manifest(spark, documents(spark, [prose(rng, rng.randrange(1, 200)) for _ in range(60)]), tmp_path).collect()
+    path = max(rows, key=lambda r: r["docs"])["path"]
+    found = list(records.shuffled(path))
+    assert [n for n, *_ in found] != sorted(n for n, *_ in found) == list(range(len(found)))
+    for n, doc_id, ids in found:
+        offset, _, doc, n_ids = records.read_index(path)[n]
+        assert (doc, n_ids) == (doc_id, len(ids)) and (records.read_at(path, offset)[1] == ids).all()
+    file = path.removeprefix("file:") + ".idx"
+    good = open(file, "rb").read()
+    for wrong in (good[:16] + good[44:52] + good[24:], good[:28] + good[:8] + good[36:]):  # the document of another entry, and the place of another one
+        open(file, "wb").write(wrong)
+        with pytest.raises(ValueError):
+            list(records.shuffled(path))
+    open(file, "wb").write(good)
+    assert len(list(records.shuffled(path))) == len(found)
+
+
 def test_records_of_nothing(spark, tmp_path):
     assert records.read_records(manifest(spark, documents(spark, ["x"]).where("false"), tmp_path)).count() == 0
 
