@@ -30,13 +30,14 @@ def _text(e: Column) -> Column:
 def hashed_events(actions: DataFrame, events: Iterable = (COMPLETED,)) -> DataFrame:
     """(interview__id, a, b): the first and the next 15 hexadecimal digits of the MD5 of each event, as numbers."""
     rows = _events(actions, events).select("interview__id", F.md5(_text(F.col("e")).cast("binary")).alias("h"))
-    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(19,0)")
+    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("bigint")
     return rows.select("interview__id", part(1).alias("a"), part(16).alias("b"))
 
 
 def summed_events(hashed: DataFrame) -> DataFrame:
     """DIGESTS rows of ``hashed_events``: sums, so with partial aggregation, and streaming too."""
-    return hashed.groupBy("interview__id").agg(F.count("*").alias("n_events"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(19,0)"))
+    return hashed.groupBy("interview__id").agg(F.count("*").alias("n_events"), total("a").alias("sum_a"), total("b").alias("sum_b"))
 
 
 def event_digests(actions: DataFrame, events: Iterable = (COMPLETED,)) -> DataFrame:

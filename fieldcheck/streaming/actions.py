@@ -19,7 +19,7 @@ def watch_actions(
     """Read what is new in a folder of Parquet action logs, then stop; per batch ``handle(changed, hashes)`` is called.
 
     A batch's interviews are compared with ``tracker()`` by all of their log in the folder, so events of one interview may come in different
-    batches. ``handle`` saves the new hashes; as a batch may be repeated after a failure, it must replace rather than add.
+    batches; so each batch reads the folder again. ``watch_digests`` keeps what it needs as state instead. ``handle`` saves the new hashes; as a batch may be repeated after a failure, it must replace rather than add.
     """
     stream = spark.readStream.schema(ACTIONS).parquet(folder)
 
@@ -37,7 +37,7 @@ def watch_digests(spark: SparkSession, folder: str, checkpoint: str, handle: Cal
 
     The state, kept below ``checkpoint``, is the sum of hashes of every interview and the hashes of its events, so a batch reads its own files only, and the
     digests that it gives are those of whole logs. An event that comes again, late or in another file, changes nothing: of equal events of one interview one counts,
-    as in ``event_digests`` over distinct rows. After a failure a batch may be handled again, with the same number and rows; ``save_digests`` replaces them.
+    as in ``event_digests`` over distinct rows. The state holds two numbers for each event ever seen; for many of them, choose Spark's RocksDB state store, which keeps it on disk. After a failure a batch may be handled again, with the same number and rows; ``save_digests`` replaces them.
     """
     new = hashed_events(spark.readStream.schema(ACTIONS).parquet(folder), events).dropDuplicates(["interview__id", "a", "b"])
     return summed_events(new).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
