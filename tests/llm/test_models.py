@@ -57,6 +57,35 @@ def test_scores_without_labels_or_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in quality.scored(docs, quality.fit(docs, one)).collect())
 
 
+def test_scores_against_a_plain_fit(spark):
+    """Moments, shrinkage and scores again, from all rows at once, with determinants and inverses instead of factors."""
+    folder = MIDDLE.replace("sf0.01", "sf0.001")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    labels = {}
+    for r in spark.read.parquet(f"{folder}/labels.parquet").collect():
+        if r["quality"] in (0, 1):
+            labels[r["doc_id"]] = min(r["quality"], labels.get(r["doc_id"], 1))
+    x = quality.statistics(pa.array([r["text"] for r in docs], pa.string()))
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in docs]
+    learnt = [k for k, r in enumerate(docs) if r["doc_id"] in labels and not held[k]]
+    y = np.array([labels[docs[k]["doc_id"]] for k in learnt])
+    centre, scale = x[learnt].mean(0), x[learnt].std(0)
+    scale[scale < 1e-9] = 1
+    z = np.clip((x - centre) / scale, -6, 6)
+    own, logit = z[learnt], np.log((y.sum() + 1) / ((1 - y).sum() + 1))
+    pooled = np.diag(np.maximum(own.var(0), 1e-3))
+    for c, sign in ((1, 1), (0, -1)):
+        mean, spread = own[y == c].mean(0), 0.9 * np.cov(own[y == c].T, bias=True) + 0.1 * pooled + 1e-6 * np.eye(len(centre))
+        away = z - mean
+        logit = logit + sign * (-0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(spread), away) - 0.5 * np.linalg.slogdet(spread)[1])
+    want = {r["doc_id"]: (h, 1 / (1 + np.exp(-v / 4))) for r, h, v in zip(docs, held, logit, strict=True)}
+    got = {r["doc_id"]: r for r in quality.op6_quality_classifier(spark, folder).collect()}
+    assert got.keys() == want.keys() and 0 < sum(held) < len(held)
+    for d, (h, score) in want.items():
+        r = got[d]
+        assert r["held_out"] == h and r["score"] == pytest.approx(score, abs=1e-6) and r["predicted"] == int(r["score"] >= 0.7)
+
+
 # pages
 
 
