@@ -6,6 +6,7 @@ the others are columns, read row by row. Whatever is wrong with a template is an
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from string import Formatter
 
@@ -78,20 +79,50 @@ def decode_map(labels, datasets: list[str] | None = None) -> Column:
     if datasets is not None:
         labels = labels.where(F.col("dataset").isin(datasets))
     labels = labels.where("dataset is not null and variable is not null and code is not null and label is not null")
-    key = _code_key(F.col("dataset"), F.col("variable"), F.col("code"))
+    key = _code_key(F.concat_ws(".", "dataset", "variable"), F.col("code"))
     one = labels.groupBy(key.alias("key")).agg(F.min("label").alias("label"))
     return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "label"))))).scalar()
 
 
-def _code_key(dataset: Column, variable: Column, code: Column) -> Column:
-    return F.concat(dataset, F.lit("."), variable, F.lit("="), code.cast("double").cast("string"))
+def _code_key(name: Column, code: Column) -> Column:
+    return F.concat(name, F.lit("="), code.cast("double").cast("string"))
 
 
 def label_of(decoder: Column, dataset: str, variable: str, code: Column) -> Column:
     """The label of a code, the code itself as text where it has none, null for a null."""
+    return label_by_name(decoder, F.lit(f"{dataset}.{variable}"), code)
+
+
+def label_by_name(decoder: Column, name: Column, code: Column) -> Column:
+    """``label_of`` for a column of names ``dataset.variable``."""
     number = code.cast("double")
     plain = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string")).otherwise(code.cast("string"))
-    return F.coalesce(F.try_element_at(decoder, _code_key(F.lit(dataset), F.lit(variable), code)), plain)
+    return F.coalesce(F.try_element_at(decoder, _code_key(name, code)), plain)
+
+
+def compiled_by_key(templates: Mapping[str, str], codes: Mapping[str, Mapping[str, tuple[str, int]]], key: Column, decoder: Column, values: Column) -> Column:
+    """The text of each row's own template, of any number of them: ``templates`` by the value of ``key``, whose placeholders are coded fields.
+
+    ``codes`` has for each template and field the name of its labels (``dataset.variable``) and the place of its code in the array ``values``. All templates
+    become one constant, so the expression is as long for a hundred as for one. ValueError for a placeholder that has no code, or has a format.
+    """
+    table = {}
+    for name, template in templates.items():
+        parts, tail = [], ""
+        for before, field, form in placeholders(template):
+            if field and (form or field not in codes[name]):
+                raise ValueError(f"no coded field {field!r} for {template!r}; there are {sorted(codes[name])}")
+            if field:
+                parts.append({"before": before, "label": codes[name][field][0], "at": codes[name][field][1]})
+            else:
+                tail = before
+        table[name] = {"parts": parts, "tail": tail}
+    shape = "map<string, struct<parts: array<struct<before: string, label: string, at: int>>, tail: string>>"
+    own = F.try_element_at(F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), shape), key)
+    most = max((len(t["parts"]) for t in table.values()), default=0)
+    parts = [F.get(own["parts"], F.lit(n)) for n in range(most)]  # null behind a template's last one
+    texts = [F.coalesce(F.concat(p["before"], F.coalesce(label_by_name(decoder, p["label"], F.get(values, p["at"])), F.lit("NA"))), F.lit("")) for p in parts]
+    return F.concat(*texts, own["tail"])
 
 
 def with_labels(df, labels, dataset: str, columns: Mapping[str, str]):

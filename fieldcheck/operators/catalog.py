@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.functions.templates import compiled, decode_map, label_of, placeholders
+from fieldcheck.functions.templates import compiled_by_key, decode_map, placeholders
 from fieldcheck.operators import check_texts, derive
 from fieldcheck.operators.outliers import Check, of_check, beyond, described, issue_rows, long_measures
 from fieldcheck.operators.thresholds import deviation_thresholds
@@ -161,11 +161,8 @@ def outlier_issues(
     limits = deviation_thresholds(_long(full, checks, coded, False).select("check_id", "key", "value"), ["check_id", "key"], of_check(every, "check_id", [float(k.n_mad) for k in every]))
     rows = _long(filtered, checks, coded, True).join(limits, ["check_id", "key"]).where(beyond(every)).drop("mad")
     decoder = decode_map(labels, list(checks)) if labels is not None else F.lit(None).cast("map<string,string>")
-    what = F.when(F.lit(False), F.lit(""))
-    for name, some in checks.items():
-        shown = {c: label_of(decoder, name, c, F.get("_codes", F.lit(n))) for n, c in enumerate(coded[name])}
-        for k in some:
-            what = what.when(F.col("check_id") == k.id, compiled(texts[k.id], language, row=shown))
+    places = {t: {c: (f"{t}.{c}", n) for n, c in enumerate(cs)} for t, cs in coded.items()}
+    what = compiled_by_key(texts, {k.id: places[t] for t, some in checks.items() for k in some}, F.col("check_id"), decoder, F.col("_codes"))
     rows = rows.withColumn("_what", what)
     desc, comment = described(rows, every, F.col("_what"), language)
     return issue_rows(rows, every, desc, comment, F.col("_loc"), True)

@@ -48,12 +48,14 @@ class Check:
 
 
 def of_check(checks: list[Check], column: str, values: list) -> Column:
-    """A value by check_id: one literal if all have the same one, else a chain over the values."""
+    """A value by check_id: one literal if all have the same one, a chain over the values if they are few, else a constant map."""
     ids: dict = {}
     for k, v in zip(checks, values, strict=True):
         ids.setdefault(v, []).append(k.id)
     if len(ids) == 1:
         return F.lit(next(iter(ids)))
+    if len(ids) > 8:
+        return F.try_element_at(F.create_map(*[F.lit(x) for k, v in zip(checks, values, strict=True) for x in (k.id, v)]), F.col(column))
     return reduce(lambda w, vi: w.when(F.col(column).isin(vi[1]), F.lit(vi[0])), ids.items(), F.when(F.lit(False), F.lit(values[0])))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -90,6 +91,55 @@ def _survey_outliers(language: str):
     return query
 
 
+# Every check of the catalogue: tables of the questionnaire by rule, each from one of the given tables.
+
+#: Given table, its key, the column that measures are taken from, and the one that codes are.
+_BASES = (
+    ("customer", "c_custkey", "c_acctbal", "c_nationkey"),
+    ("part", "p_partkey", "p_retailprice", "p_size"),
+    ("orders", "o_orderkey", "o_totalprice", "cast(substring(o_orderpriority, 1, 1) as int)"),
+)
+EVERY = {**catalog.CHECKS, **catalog.LAND_CHECKS}
+
+
+def _whole_table(name: str, base: tuple[str, str, str, str]) -> str:
+    """SQL of a table with all columns that its checks read: codes, denominators above zero, and measures that differ by a factor."""
+    given, key, measure, code = base
+    checks = EVERY[name]
+    derived = {**catalog.DAILY.get(name, {}), **catalog.RATIOS.get(name, {})}
+    used = {k.var for k in checks}
+    inputs = [c for var, of in derived.items() if var in used for c in of]
+    below = {of[1] for var, of in derived.items() if var in used}
+    codes = dict.fromkeys([*(b for k in checks for b in k.by), *(f for k in checks for _, f, _ in placeholders(check_texts.what(k.var, "en")) if f)])
+    if name in ("plots", "crops"):
+        codes = {"r_parcel__id": None, "r_plot__id": None, **codes}
+    values = [c for c in dict.fromkeys([*(k.var for k in checks if k.var not in derived), *inputs]) if c not in codes and not (name == "crops" and c == "ag02_q07_size")]
+    columns = [f"{code} as {c}" for c in codes if c not in below] + [f"{code} + 1 as {c}" for c in values if c in below]
+    columns += [f"{measure} * {n + 1} as {c}" for n, c in enumerate(v for v in values if v not in below)]
+    return f"select cast({key} as {{text}}) as interview__id, concat('K', cast({key} as {{text}})) as interview__key, {', '.join(columns)} from {given}"
+
+
+WHOLE = {name: _whole_table(name, _BASES[0 if name in ("plots", "crops") else n % len(_BASES)]) for n, name in enumerate(EVERY)}
+
+
+def catalogue_outliers(spark, sf_dir: str) -> DataFrame:
+    """All 80 checks of the questionnaire and 9 on plots and crops, over 21 tables, in one plan (I4)."""
+    tables = {name: frame(spark, sf_dir, text_) for name, text_ in WHOLE.items()}
+    return catalog.outlier_issues(tables, tables, EVERY, "en", labels(spark, sf_dir))
+
+
+def _derived_sql(name: str) -> dict[str, str]:
+    days = " ".join(f"when {k} then {{0}} / {d}" for k, d in ((1, 1), (2, 7), (3, 14), (4, 30), (5, 90), (6, 365.25)))
+    out = {var: f"(case {unit} {days.format(amount)} else {amount} end)" for var, (amount, unit) in catalog.DAILY.get(name, {}).items()}
+    return out | {var: f"({a} / {b})" for var, (a, b) in catalog.RATIOS.get(name, {}).items()}
+
+
+def _whole_sql() -> str:
+    source = {name: sql(text_) for name, text_ in WHOLE.items()}
+    source["crops"] = f"(select c.*, ag02_q07_size from {source['crops']} c join {source['plots']} p using (interview__id, r_parcel__id, r_plot__id))"
+    return f"with lab as ({LABELS}) " + " union all ".join(_check_sql(t, k, "en", "", WHOLE[t], source[t], _derived_sql(t)) for t, some in EVERY.items() for k in some)
+
+
 def _sql_text(template: str, fields: dict[str, str], language: str) -> str:
     """A template as an SQL expression."""
     out = []
@@ -103,11 +153,12 @@ def _sql_text(template: str, fields: dict[str, str], language: str) -> str:
     return " || ".join(out)
 
 
-def _check_sql(name: str, k: Check, language: str, only: str) -> str:
-    var = _DERIVED.get(k.var, k.var)
+def _check_sql(name: str, k: Check, language: str, only: str, columns: str, source: str, derived: dict[str, str]) -> str:
+    """Issues of one check. ``columns`` is the select that names the table's columns, ``source`` the table, ``derived`` has its derived measures."""
+    var = derived.get(k.var, k.var)
     same = " and ".join(f"t.{b} is not distinct from g.{b}" for b in k.by) or "true"
     keys = "".join(f"{b}, " for b in k.by)
-    ids = [w for w in ("r_assets__id", "food_consumption_at_home__id", "r_income__id", "services_roster__id", "ag_assets__id", "r_aglabor_nonhh__id") if w in TABLES[name]]
+    ids = [w for w in re.findall(r" as (\w+__id)\b", columns) if w != "interview__id"]
     loc = " || ', ' || ".join(f"t.{i}" for i in ids)
     template = check_texts.what(k.var, language)
     coded = {f for _, f, _ in placeholders(template) if f}
@@ -118,16 +169,16 @@ def _check_sql(name: str, k: Check, language: str, only: str) -> str:
     desc = _sql_text(check_texts.DESC[language], fields, language)
     comment = _sql_text(check_texts.COMMENT[language], fields | {"n_obs": "n_obs"}, language)
     rows = f"""select t.interview__id, t.interview__key, 2 as issue_type, {desc} as issue_desc, {comment} as issue_comment, '{k.var}' as issue_vars, {f"'[' || {loc} || ']'" if ids else "cast(null as varchar)"} as loc
-from (select *, {var} as raw from {sql(TABLES[name])}) t
+from (select *, {var} as raw from {source}) t
 join (select {keys}count(*) as n_obs, median(v) as med, median(v) - {k.n_mad} * 1.4826 * mad(v) as ll, median(v) + {k.n_mad} * 1.4826 * mad(v) as ul
-      from (select *, ln({var}) as v from {sql(TABLES[name])} where {var} > 0) {"group by " + ", ".join(k.by) if k.by else ""}) g on {same}
+      from (select *, ln({var}) as v from {source} where {var} > 0) {"group by " + ", ".join(k.by) if k.by else ""}) g on {same}
 where n_obs >= {k.min_obs} and raw > 0 and ln(raw) > ul {only}"""
-    columns = "interview__id, interview__key, issue_type, issue_desc, issue_comment, issue_vars"
-    return f"select {columns}, cast(null as varchar) as issue_loc from ({rows}) union all select {columns}, loc from ({rows})"
+    same = "interview__id, interview__key, issue_type, issue_desc, issue_comment, issue_vars"
+    return f"select {same}, cast(null as varchar) as issue_loc from ({rows}) union all select {same}, loc from ({rows})"
 
 
 def _outliers_sql(language: str, names=tuple(TABLES), only: str = "") -> str:
-    return f"with lab as ({LABELS}) " + " union all ".join(_check_sql(t, k, language, only) for t in names for k in CHECKS[t])
+    return f"with lab as ({LABELS}) " + " union all ".join(_check_sql(t, k, language, only, TABLES[t], sql(TABLES[t]), _DERIVED) for t in names for k in CHECKS[t])
 
 
 def decode_columns(spark, sf_dir: str) -> DataFrame:
@@ -350,11 +401,12 @@ from msg"""
 QUERIES = {f"survey_outliers_{k}": _survey_outliers(k) for k in check_texts.LANGUAGES} | {
     f.__name__: f
     for f in (
-        decode_columns, event_digest, updated_by_digest, sketched_medians, union_widened, weekly_indicators, period_indicators, persistent_messages, validate_run,
+        catalogue_outliers, decode_columns, event_digest, updated_by_digest, sketched_medians, union_widened, weekly_indicators, period_indicators, persistent_messages, validate_run,
     )
 }
 
 SQL = {f"survey_outliers_{k}": _outliers_sql(k) for k in check_texts.LANGUAGES} | {
+    "catalogue_outliers": _whole_sql(),
     "decode_columns": _DECODE_SQL,
     "event_digest": _DIGEST_SQL,
     "updated_by_digest": C.SQL["updated_interviews"],

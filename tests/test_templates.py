@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fieldcheck.functions.templates import compiled, placeholders, with_labels
+from fieldcheck.functions.templates import compiled, compiled_by_key, decode_map, placeholders, with_labels
 from fieldcheck.operators import catalog, check_texts
 
 
@@ -50,3 +50,22 @@ def test_labels_of_many_columns(spark):
     assert [tuple(r)[3:] for r in got.collect()] == [("one", "ay", "1"), ("two", "3", "2.5"), (None, None, "9")]
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r["la"] for r in with_labels(df, labels.where("false"), "t", {"la": "a"}).collect()] == ["1", "2", None]
+
+
+def test_a_template_for_each_row(spark):
+    labels = spark.createDataFrame([("t", "a", 1, "one"), ("u", "b", 2, "two's")], "dataset string, variable string, code int, label string")
+    templates = {"x": "{a} of {b}, {{é}}", "y": "no field", "z": "{b}", "w": "{b}{b}!"}
+    codes = {k: {"a": ("t.a", 0), "b": ("u.b", 1)} for k in templates}
+    rows = spark.createDataFrame([("x", [1.0, 2.0]), ("x", [3.0, None]), ("y", None), ("z", [1.0]), ("w", [0.0, 2.0]), ("other", [1.0, 2.0])], "k string, v array<double>")
+    text = compiled_by_key(templates, codes, F.col("k"), decode_map(labels), F.col("v"))
+    assert [r["t"] for r in rows.select(text.alias("t")).collect()] == ["one of two's, {é}", "3 of NA, {é}", "no field", "NA", "two'stwo's!", None]
+    for wrong in ("{c}", "{a:number}"):
+        with pytest.raises(ValueError):
+            compiled_by_key({"x": wrong}, codes, F.col("k"), decode_map(labels), F.col("v"))
+
+
+def test_the_whole_catalogue_is_registered():
+    from fieldcheck.plans import run_queries as Q
+
+    assert sum(map(len, Q.EVERY.values())) == 89 and Q.WHOLE.keys() == Q.EVERY.keys()
+    assert Q.SQL["catalogue_outliers"].count("union all select interview__id") == 89
