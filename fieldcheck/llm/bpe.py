@@ -21,7 +21,7 @@ from .vocabulary import default_path, encode_column, gathered
 #: Fixed value: the pattern by which the byte-level pre-tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text whose ids a worker remembers, twice: the latest ones and those before them.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 #: Bits that hold an id of the vocabulary.
 BITS = 20
 MASK = (1 << BITS) - 1
@@ -57,9 +57,9 @@ class Codec:
         self.decimal = [str(i) for i in range(size)]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        #: Ids of known pre-tokens, and of known pieces of text: the recent ones and those before them.
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        #: Ids of known pre-tokens, and of known pieces of text, as unsigned 32-bit integers: the recent ones and those before them.
+        self.recent: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.recent_pieces: dict[bytes, bytes] = {}
         self.old_pieces: dict[bytes, bytes] = {}
 
@@ -91,27 +91,26 @@ class Codec:
                 heappush(queue, found * n + h)
         return tuple([x for x in ids if x >= 0])
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         recent, old = self.recent, self.old.get
-        ids: list[int] = []
+        ids: list[bytes] = []
         for word in self.pattern.findall(text):
             found = recent.get(word)
             if found is None:
-                found = recent[word] = old(word) or self.word(word)
-            ids += found
-        return ids
+                found = recent[word] = old(word) or array("I", self.word(word)).tobytes()
+            ids.append(found)
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> bytes:
         """Ids of a text; the strings of special tokens in it get their ids."""
         if not self.specials or not self.specials.search(text):
             return self._plain(text)
-        ids: list[int] = []
+        ids: list[bytes] = []
         at = 0
         for m in self.specials.finditer(text):
-            ids += self._plain(text[at : m.start()])
-            ids.append(self.special[m.group()])
+            ids += (self._plain(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes())
             at = m.end()
-        return ids + self._plain(text[at:])
+        return b"".join([*ids, self._plain(text[at:])])
 
     def pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as unsigned 32-bit integers."""
@@ -123,7 +122,7 @@ class Codec:
         found = list(map(recent.get, pieces))
         for k in [k for k, ids in enumerate(found) if ids is None]:
             p = pieces[k]
-            recent[p] = found[k] = old(p) or array("I", self.piece(p.decode())).tobytes()
+            recent[p] = found[k] = old(p) or self.piece(p.decode())
         return found
 
     def encode(self, text: str) -> list[int]:

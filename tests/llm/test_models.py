@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from common import ODD, documents, edited, prose
+from common import ODD, documents, edited
 from pyspark.sql import functions as F
 
 import corpus_pipeline
