@@ -31,7 +31,7 @@ FORMATS = {"": lambda value, language: shown(value), "number": _number(2), "whol
 
 
 def placeholders(template: str) -> list[tuple[str, str, str]]:
-    """(text before, field, format) of each placeholder, and what follows the last one with an empty field."""
+    """(text before, field, format) of each placeholder; text that no placeholder follows at once has an empty field."""
     out = []
     try:
         for before, field, form, conversion in Formatter().parse(template):
@@ -108,15 +108,15 @@ def compiled_by_key(templates: Mapping[str, str], codes: Mapping[str, Mapping[st
     """
     table = {}
     for name, template in templates.items():
-        parts, tail = [], ""
+        parts, text = [], ""
         for before, field, form in placeholders(template):
+            text += before
             if field and (form or field not in codes[name]):
                 raise ValueError(f"no coded field {field!r} for {template!r}; there are {sorted(codes[name])}")
             if field:
-                parts.append({"before": before, "label": codes[name][field][0], "at": codes[name][field][1]})
-            else:
-                tail = before
-        table[name] = {"parts": parts, "tail": tail}
+                parts.append({"before": text, "label": codes[name][field][0], "at": codes[name][field][1]})
+                text = ""
+        table[name] = {"parts": parts, "tail": text}
     shape = "map<string, struct<parts: array<struct<before: string, label: string, at: int>>, tail: string>>"
     own = F.try_element_at(F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), shape), key)
     most = max((len(t["parts"]) for t in table.values()), default=0)

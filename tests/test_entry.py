@@ -57,7 +57,7 @@ def test_a_fault_within_the_optional_part_is_not_hidden(tmp_path):
     inner = tmp_path / "fieldcheck/llm/queries.py"
     if not inner.exists():
         pytest.skip("the optional part is not there")
-    inner.write_text("import nothing_of_that_name\n" + inner.read_text())
+    inner.write_text(inner.read_text() + "\nimport nothing_of_that_name\n")
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=False)
     assert run.returncode and "nothing_of_that_name" in run.stderr
 
