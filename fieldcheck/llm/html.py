@@ -211,13 +211,11 @@ def page_features(page: list[Block]) -> list[list[str]]:
     for k, b in enumerate(page):
         lo, hi = max(0, k - 2), min(len(page), k + 3)
         around = upto[hi] - upto[lo]
-        more = (
-            f"before={_size(words[k - 1]) if k else 'none'}",
-            f"after={_size(words[k + 1]) if k + 1 < len(page) else 'none'}",
-            f"around={_size(around / (hi - lo))}",
-            f"around_linked={int((linked[hi] - linked[lo]) / around * 3)}",
-            f"place={k * 5 // len(page)}",
-        )
+        more = [f"around={_size(around / (hi - lo))}", f"around_linked={int((linked[hi] - linked[lo]) / around * 3)}", f"place={k * 5 // len(page)}"]
+        if k:
+            more.append(f"before={_size(words[k - 1])}")
+        if k + 1 < len(page):
+            more.append(f"after={_size(words[k + 1])}")
         out.append([*features(b), *more])
     return out
 

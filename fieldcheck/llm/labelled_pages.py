@@ -141,6 +141,8 @@ class _Maker:
         r = self.rng
         above = [p for p in (self.menu, self.header, self.advert, self.notice, self.form, self.side) if r.random() < 0.35]
         below = [p for p in (self.comments, self.side, self.advert, self.notice, self.form, self.menu) if r.random() < (0.5 if p == self.comments else 0.35)]
+        if r.random() < 0.08:  # a page of little else
+            above, below = above[:1] if r.random() < 0.5 else [], []
         r.shuffle(above)
         r.shuffle(below)
         order = [*above, self.main, *below, *([self.footer] if r.random() < 0.8 else [])]

@@ -31,7 +31,7 @@ def agrees(spark, sql, got, **tables):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
-    tables = {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark", "conversations")}
+    tables = {t: spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark", "conversations", "embeddings")}
     agrees(spark, queries.ORACLE_SQL[name], queries.QUERIES[name](spark, SMALL), **tables)
 
 
