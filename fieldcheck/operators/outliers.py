@@ -12,7 +12,7 @@ from fieldcheck.functions.semantics import baseline_log, checked_log, group_key,
 from fieldcheck.functions.templates import compiled
 from fieldcheck.functions.text import number_text
 from fieldcheck.operators import check_texts, messages
-from fieldcheck.operators.thresholds import deviation_thresholds
+from fieldcheck.operators.thresholds import deviation_thresholds, with_limits
 
 ISSUES = (
     "interview__id string, interview__key string, issue_type int, issue_desc string, issue_comment string, issue_vars string, issue_loc string"
@@ -107,8 +107,8 @@ def flagged(target: DataFrame, full: DataFrame, checks: list[Check], keep: list[
     A group counts from min_obs values on. Bounds are strict; a null on either side flags nothing. Lower
     bounds ask for a deviation above zero, upper ones don't. The key is a string without nulls, so thresholds join by plain equality.
     """
-    rows = long_measures(target, checks, keep, checked=True)
-    joined = rows.join(thresholds(full, checks), ["check_id", "key"])
+    rows = long_measures(target, checks, keep, checked=True).where("value is not null")
+    joined = with_limits(rows, thresholds(full, checks), ["check_id", "key"])
     return joined.where(beyond(checks)).drop("mad")
 
 

@@ -1,8 +1,9 @@
 """Group-wise medians and scaled median absolute deviations, exact, without a large group in one task.
 
-Groups of up to GROUP values are sorted within one row each, after one shuffle. Larger ones are searched by rank: their values
-are dealt out by ranges of (key, value), so a group spreads over as many tasks as its size asks for, whatever its distribution;
-sizes per partition and key, added up in order, tell at which place the wanted ranks are, and only those places are read.
+Groups of up to GROUP values are sorted within one row each, after one shuffle. Larger ones are searched by rank: a sketch brackets
+the middle, values below the bracket are counted and only those inside it are shuffled. They are dealt out by ranges of (key, value), so a group
+spreads over as many tasks as its size asks for; sizes per partition and key, added up in order, tell in which one the wanted ranks are.
+A group whose bracket doesn't hold them is searched as a whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from fieldcheck.functions.stored import stored
 NORMAL = 1.4826
 #: Values of a group that are sorted within a row.
 GROUP = 10_000
+#: Size of the sketch that brackets a median, and the share of ranks to either side that the bracket takes in: five times the standard error of the sketch at least.
+SKETCH, BAND = 1600, 0.005
 #: Bits of a place that number the rows within a partition.
 _ROWS = 33
 
@@ -34,44 +37,65 @@ def _sorted_median(values: Column) -> Column:
 
 def in_one_row(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, deviation) of groups that each fit in a row."""
-    sorted_ = values.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("v"))
+    sorted_ = values.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("v"))
     found = sorted_.select(*keys, F.size("v").cast("long").alias("n"), "v", _sorted_median(F.col("v")).alias("median"))
-    away = F.array_sort(F.filter(F.transform("v", lambda x: F.abs(x - F.col("median"))), lambda d: ~F.isnan(d)))
+    away = F.sort_array(F.filter(F.transform("v", lambda x: F.abs(x - F.col("median"))), lambda d: ~F.isnan(d)))
     return found.select(*keys, "n", "median", away.alias("d")).select(*keys, "n", "median", _sorted_median(F.col("d")).alias("deviation"))
 
 
-def ranged(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, at): rows of ``values`` (keys, value, tie) in order, ``at`` numbering the places of each partition.
+def ranged(values: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, value, keep, at): rows of ``values`` (keys, value, keep, and tie where values repeat) in order, ``at`` numbering the places of each partition.
 
     ``tie`` differs between rows, so equal values spread over partitions too; it must be stored, as a repeated task has to deal its rows out as before.
     """
-    order = [*keys, "value", "tie"]
-    rows = values.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(rows.select(*keys, "value", F.monotonically_increasing_id().alias("at")))
+    order = [*keys, "value", *(c for c in ("tie",) if c in values.columns)]
+    rows = values.select(*order, *keep).repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(rows.select(*keys, "value", *keep, F.monotonically_increasing_id().alias("at")))
 
 
-def ranked_medians(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median) of the rows of ``ranged``.
+def brackets(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, low, high): sizes of groups, and values between which their middle ranks are very likely to be, from sketches that are aggregated in parts."""
+    shares = F.array(F.lit(0.5 - BAND), F.lit(0.5 + BAND))
+    found = values.groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("s"))
+    found = found.select(*keys, "n", F.kll_sketch_get_quantile_double("s", shares).alias("q"))
+    return stored(found.select(*keys, "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
 
-    There is one row for each partition and key in the running sum, and at most two places a key are looked up.
+
+def ranked_within(values: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+    """(keys, n, median) of the groups of ``bounds`` (keys, n, low, high) whose middle ranks are between low and high; others are left out.
+
+    Values below are only counted, and equal ones between are one row with their number, dealt out by ranges. The running sum has one
+    row for each partition and key; rows are numbered only in the partitions that hold a middle rank.
     """
-    sizes = placed.groupBy(*keys, F.shiftright("at", _ROWS).alias("part")).agg(F.count("*").alias("size"), F.min("at").alias("first"))
-    order = Window.partitionBy(*keys).orderBy("part")
-    sizes = sizes.withColumn("before", F.sum("size").over(order) - F.col("size")).withColumn("n", F.sum("size").over(Window.partitionBy(*keys)))
+    near = values.join(bounds, keys).where("value <= high").withColumn("value", F.when(F.col("value") >= F.col("low"), F.col("value")))
+    counted = stored(near.groupBy(*keys, "value").agg(F.count("*").alias("size")))
+    placed = ranged(counted.where("value is not null"), keys, ("size",)).withColumn("part", F.shiftright("at", _ROWS))
+    below = counted.where("value is null").select(*keys, F.col("size").alias("below"))
+    parts = placed.groupBy(*keys, "part").agg(F.sum("size").alias("some")).join(bounds.select(*keys, "n"), keys).join(below, keys, "left")
+    upto = F.sum("some").over(Window.partitionBy(*keys).orderBy("part")) + F.coalesce("below", F.lit(0))
     ranks = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
-    wanted = sizes.withColumn("rank", F.explode(ranks)).where("rank >= before and rank < before + size")
-    wanted = wanted.select((F.col("first") + F.col("rank") - F.col("before")).alias("at"), "n")
-    found = placed.join(wanted, "at").groupBy(*keys).agg(F.first("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return found.select(*keys, "n", _middle(F.col("low"), F.col("high")).alias("median"))
+    wanted = parts.withColumn("before", upto - F.col("some")).withColumn("rank", F.explode(ranks)).where("rank >= before and rank < before + some")
+    rows = placed.join(wanted.select(*keys, "part", "n", "before", "rank"), [*keys, "part"])
+    last = F.col("before") + F.sum("size").over(Window.partitionBy(*keys, "part", "rank").orderBy("value"))
+    found = rows.withColumn("last", last).where("rank < last and rank >= last - size").groupBy(*keys)
+    found = found.agg(F.first("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("ranks"))
+    return found.where("ranks = 2 - n % 2").select(*keys, "n", _middle(F.col("low"), F.col("high")).alias("median"))
+
+
+def ranked_medians(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, median), exact: sought between the brackets, and among all values of a group whose brackets turn out not to hold its middle."""
+    bounds = brackets(values, keys)
+    found = stored(ranked_within(values, keys, bounds))
+    missed = stored(bounds.join(found, keys, "left_anti").select(*keys, "n", F.lit(float("-inf")).alias("low"), F.lit(float("nan")).alias("high")))  # no value is above NaN
+    return found if missed.isEmpty() else found.unionByName(stored(ranked_within(values, keys, missed)))
 
 
 def by_rank(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, deviation) of groups of any size."""
-    placed = ranged(stored(values.withColumn("tie", F.monotonically_increasing_id())), keys)
-    med = stored(ranked_medians(placed, keys))
-    away = placed.join(med, keys).withColumn("value", F.abs(F.col("value") - F.col("median"))).where(~F.isnan("value"))
-    mad = ranked_medians(ranged(away.withColumnRenamed("at", "tie"), keys), keys)
-    return med.join(mad.select(*keys, F.col("median").alias("deviation")), keys, "left")
+    values = stored(values)
+    med = ranked_medians(values, keys)
+    away = values.join(med, keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value")).where(~F.isnan("value"))
+    return med.join(ranked_medians(away, keys).select(*keys, F.col("median").alias("deviation")), keys, "left")
 
 
 def deviations(values: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,3 +118,17 @@ def deviation_thresholds(values: DataFrame, keys: list[str], n_mad: Column) -> D
         (F.col("median") - F.col("n_mad") * F.col("mad")).alias("ll"),
         (F.col("median") + F.col("n_mad") * F.col("mad")).alias("ul"),
     )
+
+
+def with_limits(rows: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the ``limits`` (keys, n_obs and more) of their group, those without any left out; no large group is read by one task.
+
+    Limits are stored, so Spark knows their size. Groups of more than GROUP values are few, at most one for so many rows; where there are many others beside
+    them, they are joined apart, so their rows are not shuffled.
+    """
+    limits = stored(limits)
+    large = stored(limits.where(F.col("n_obs") > GROUP))
+    if large.isEmpty() or limits.count() <= GROUP:
+        return rows.join(limits, keys)
+    small = rows.join(large.select(*keys), keys, "left_anti").join(limits.where(F.col("n_obs") <= GROUP), keys)
+    return rows.join(large, keys).unionByName(small)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.operators import thresholds as T
 from fieldcheck.operators.outliers import Check, flagged, identify_outliers, thresholds
+from tests.plans import shuffled_rows
 
 INF = float("inf")
 
@@ -68,6 +69,27 @@ def test_a_hot_group_spreads_over_tasks(spark, tail):
     assert (row["n"], row["median"], row["deviation"]) == (1_000_000, pytest.approx(med), pytest.approx(mad))
 
 
+def test_a_bracket_that_misses_the_middle_costs_nothing_but_time(spark, monkeypatch):
+    rng = random.Random(7)
+    values = [("a", rng.random()) for _ in range(300)] + [("b", float(rng.randrange(4))) for _ in range(301)] + [("c", INF)] * 3
+    monkeypatch.setattr(T, "brackets", lambda rows, keys: rows.groupBy(*keys).agg(F.count("*").alias("n"), F.lit(0.9).alias("low"), F.lit(1.0).alias("high")))
+    assert found_by(spark, "rank", values) == {k: brute([v for g, v in values if g == k]) for k in "abc"}
+
+
+def test_rows_of_a_large_group_are_not_shuffled_to_its_limits(spark, monkeypatch):
+    df = lines(spark, normal("a", 3000) + [("a", 1e6)])
+    assert sum(shuffled_rows(flagged(df, df, [Check("v")], []))) < 3000  # few groups
+    monkeypatch.setattr(T, "GROUP", 50)
+    df = lines(spark, normal("a", 3000) + [("a", 1e6)] + [x for k in range(60) for x in normal(f"g{k}", 31, k) + [(f"g{k}", 1e6)]])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+    try:
+        found = flagged(df, df, [Check("v", ("g",), n_mad=9)], ["g"])
+        assert sum(shuffled_rows(found)) < 3000  # many groups, which are shuffled, and a large one
+        assert sorted(r["g"] for r in found.collect() if r["raw"] == 1e6) == sorted(["a", *(f"g{k}" for k in range(60))])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def lines(spark, rows):
     return spark.createDataFrame([(f"i{n}", f"k{n}", n, g, v) for n, (g, v) in enumerate(rows)], "interview__id string, interview__key string, row__id int, g string, v double")
 
