@@ -13,6 +13,7 @@ from fieldcheck.functions.templates import placeholders, with_labels
 from fieldcheck.operators import catalog, changes, check_texts, decisions, report, run, sketches
 from fieldcheck.operators.messages import text
 from fieldcheck.operators.outliers import Check, long_measures
+from fieldcheck.operators.thresholds import with_limits
 from fieldcheck.plans import case_queries as C
 from fieldcheck.plans import decision_queries as D
 from fieldcheck.plans import outlier_queries as O
@@ -245,7 +246,7 @@ def sketched_medians(spark, sf_dir: str) -> DataFrame:
     halves = [stored(sketches.threshold_sketches(some, SKETCHED)) for some in (rows.where(first), rows.where(~first))]
     found = sketches.sketched_thresholds(sketches.merged_sketches(*halves), SKETCHED)
     values = long_measures(rows, SKETCHED, [], checked=False).where("value is not null")
-    ranks = values.join(found, ["check_id", "key"]).groupBy("check_id", "key").agg(
+    ranks = with_limits(values, found, ["check_id", "key"]).groupBy("check_id", "key").agg(
         F.first("n_obs").alias("n_obs"), F.count("*").alias("n"), F.count_if(F.col("value") < F.col("med")).alias("below"), F.count_if(F.col("value") <= F.col("med")).alias("upto")
     )
     e = sketches.RANK_ERROR

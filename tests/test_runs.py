@@ -12,6 +12,7 @@ from fieldcheck.plans import run_queries as Q
 from fieldcheck.sources import publish as P
 from fieldcheck.sources import versions
 from fieldcheck.streaming import actions as stream
+from tests.plans import shuffled_rows
 
 LOG = "interview__id string, date string, time string, action int, originator string, role int"
 IDS = "interview__id string, interview__key string"
@@ -115,6 +116,22 @@ def test_sketches_of_small_and_odd_groups(spark):
 # versions, indicators, attributes ----------------------------------------------------------------------------------
 
 
+def test_ranks_of_sketched_medians_are_counted_where_the_rows_are(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(4000, numPartitions=4).select(
+        n.alias("l_orderkey"), (n % 50).alias("l_partkey"), (n % 40).alias("l_suppkey"), F.lit(1).alias("l_linenumber"), (n % 50 + 1.0).alias("l_quantity"), (n + 1.0).alias("l_extendedprice"),
+        F.lit(0.1).alias("l_discount"), F.lit(0.1).alias("l_tax"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.current_timestamp().alias("l_shipdate"),
+    )
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        found = Q.sketched_medians(spark, str(tmp_path))
+        assert sum(shuffled_rows(found)) < 1000  # of 12,000 values
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["n_obs"], r["within"]) for r in found.collect()} == {(100, True), (4000, True)}
+
+
 def test_versions_of_different_types(spark):
     spark.conf.set("spark.sql.ansi.enabled", "true")
     one = spark.createDataFrame([(1, 5, True, "x")], "id int, a int, b boolean, c string").withMetadata("a", {"label": "first"})
