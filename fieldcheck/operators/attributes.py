@@ -137,8 +137,12 @@ def spec(operator: str, table: str, name: str, variables: str | None = None, **a
     return Spec(operator, table, name, tuple(arguments.items()), variables)
 
 
-#: Operators on the rows of an interview, by their aggregate, and those on one row, by their value.
-_ROSTER = {"count_obs": _count, "any_obs": _any, "sum_vals": _sum}
+#: Operators on the rows of an interview, by the number of a row and its aggregate, and those on one row, by their value.
+_ROSTER = {
+    "count_obs": (lambda where: _condition(where).cast("double"), F.sum),
+    "any_obs": (lambda where: _condition(where).cast("double"), F.max),
+    "sum_vals": (lambda var: F.col(var).cast("double"), F.sum),
+}
 _ROW = {
     "count_vars": _count_vars,
     "any_vars": _any_vars,
@@ -149,7 +153,7 @@ _ROW = {
 
 
 def planned(tables: dict[str, DataFrame], specs: list[Spec], cases: str = "households") -> DataFrame:
-    """ATTRIBS rows of all specs, each table being read once: one aggregate for each roster, joined to the cases, and one unpivoting at the end.
+    """ATTRIBS rows of all specs, each table being read once: one aggregate over the rows of all rosters, joined to the cases, and one unpivoting at the end.
 
     Every row of the table of cases gets every attribute, those of rosters without rows being 0; it has one row per interview. Operators on one row apply to
     the table of cases only.
@@ -164,9 +168,13 @@ def planned(tables: dict[str, DataFrame], specs: list[Spec], cases: str = "house
     column = {s: f"_{n}" for n, s in enumerate(specs)}
     own = [s for s in specs if s.operator in _ROW]
     wide = homes.select(*IDS, *[_ROW[s.operator](homes, **dict(s.arguments)).cast("double").alias(column[s]) for s in own])
-    for table in dict.fromkeys(s.table for s in specs if s.operator in _ROSTER):
-        some = [s for s in specs if s.table == table and s.operator in _ROSTER]
-        found = tables[table].groupBy("interview__id").agg(*[_ROSTER[s.operator](**dict(s.arguments)).alias(column[s]) for s in some])
+    rosters = [s for s in specs if s.operator in _ROSTER]
+    if rosters:
+        parts = []
+        for table in dict.fromkeys(s.table for s in rosters):
+            mine = {s: _ROSTER[s.operator][0](**dict(s.arguments)) for s in rosters if s.table == table}
+            parts.append(tables[table].select("interview__id", *[mine.get(s, F.lit(None).cast("double")).alias(column[s]) for s in rosters]))
+        found = reduce(DataFrame.unionByName, parts).groupBy("interview__id").agg(*[_ROSTER[s.operator][1](column[s]).alias(column[s]) for s in rosters])
         wide = wide.join(found, "interview__id", "left")
     values = [
         F.struct(

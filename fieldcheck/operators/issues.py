@@ -37,12 +37,13 @@ def _issue(df: DataFrame, type_: Column, desc: Column, comment: Column, variable
 
 
 def attribute_issues(attribs: DataFrame, rules: list[Rule], language: str = "en") -> DataFrame:
-    """Issues of all rules: attributes become columns in one pivot, then every rule is a condition on its row.
+    """Issues of all rules: attributes become columns in one aggregate with a row per interview, then every rule is a condition on its row.
 
     An attribute that an interview doesn't have is null, and so are conditions on it.
     """
     names = sorted({a for r in rules for a in r.attributes})
-    wide = attribs.where(F.col("attrib_name").isin(names)).groupBy("interview__id", "interview__key").pivot("attrib_name", names).agg(F.first("attrib_val", ignorenulls=True))
+    values = [F.first(F.when(F.col("attrib_name") == a, F.col("attrib_val")), ignorenulls=True).alias(a) for a in names]
+    wide = attribs.where(F.col("attrib_name").isin(names)).groupBy("interview__id", "interview__key").agg(*values)
     hits = [
         F.when(
             F.expr(r.where),

@@ -79,6 +79,15 @@ def test_logical_issues(spark):
     }
 
 
+def test_logical_issues_take_one_join_whatever_the_number_of_rosters(spark):
+    rosters = ("members", *(table for _, table, _ in attributes.PURCHASES))
+    columns = {"members": "hh01_q03", "households": "hh14_q02__1"} | {table: var for _, table, var in attributes.PURCHASES}
+    tables = {t: spark.range(9).selectExpr("cast(id as string) as interview__id", "cast(id as string) as interview__key", f"1 as {columns[t]}") for t in ("households", *rosters)}
+    found = issues.attribute_issues(attributes.create_attributes(tables), issues.LOGICAL)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "pivotfirst" not in plan
+
+
 def test_unknown_column(spark):
     homes = {"households": survey(spark)["households"]}
     with pytest.raises(ValueError, match="missing"):
