@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldcheck.functions.templates import compiled_by_key, decode_map, placeholders
 from fieldcheck.operators import check_texts, derive
 from fieldcheck.operators.outliers import Check, of_check, beyond, described, issue_rows, long_measures
-from fieldcheck.operators.thresholds import deviation_thresholds
+from fieldcheck.operators.thresholds import deviation_thresholds, with_limits
 
 # Names of tables, measures and grouping columns of the questionnaire.
 AREA = ("admin1", "urb_rur")
@@ -159,7 +159,7 @@ def outlier_issues(
     coded = {t: sorted({f for k in some for f in fields[k.id] if f in full[t].columns}) for t, some in checks.items()}
     every = [k for some in checks.values() for k in some]
     limits = deviation_thresholds(_long(full, checks, coded, False).select("check_id", "key", "value"), ["check_id", "key"], of_check(every, "check_id", [float(k.n_mad) for k in every]))
-    rows = _long(filtered, checks, coded, True).join(limits, ["check_id", "key"]).where(beyond(every)).drop("mad")
+    rows = with_limits(_long(filtered, checks, coded, True).where("value is not null"), limits, ["check_id", "key"]).where(beyond(every)).drop("mad")
     decoder = decode_map(labels, list(checks)) if labels is not None else F.lit(None).cast("map<string,string>")
     places = {t: {c: (f"{t}.{c}", n) for n, c in enumerate(cs)} for t, cs in coded.items()}
     what = compiled_by_key(texts, {k.id: places[t] for t, some in checks.items() for k in some}, F.col("check_id"), decoder, F.col("_codes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.operators import attributes, catalog, issues
 from fieldcheck.operators.outliers import Check
+from tests.plans import shuffled_rows
 
 INPUTS = {n: {c for cols in m.values() for c in cols} for src in (catalog.DAILY, catalog.RATIOS) for n, m in src.items()}
 FAR, FAR_BELOW = 41, 42
@@ -88,6 +89,18 @@ def test_logical_issues_take_one_join_whatever_the_number_of_rosters(spark):
     assert plan.count("Join LeftOuter") == 1 and "pivotfirst" not in plan
 
 
+def test_a_large_group_of_the_catalogue_is_not_shuffled(spark):
+    rows = spark.range(4000, numPartitions=4).selectExpr("cast(id as string) as interview__id", "cast(id as string) as interview__key", "1 as t__id", "if(id = 7, 1e9, 100 + id % 10) as m")
+    checks = {"t": [Check("m", ("t__id",))]}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        found = catalog.outlier_issues({"t": rows}, {"t": rows}, checks)
+        assert sum(shuffled_rows(found)) < 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["interview__id"] for r in found.collect()} == {"7"}
+
+
 def test_unknown_column(spark):
     homes = {"households": survey(spark)["households"]}
     with pytest.raises(ValueError, match="missing"):
