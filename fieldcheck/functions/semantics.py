@@ -40,9 +40,12 @@ def in_list(value: Column, values: Iterable) -> Column:
     return F.coalesce(value.isin(values), F.lit(False)) if values else F.lit(False)
 
 
-def group_key(columns: Iterable[Column]) -> Column:
-    """One string that is equal exactly if all parts are, nulls included; ``[]`` for no parts."""
+def group_key(columns: Iterable[Column], plain: bool = False) -> Column:
+    """One string that is equal exactly if all parts are, nulls included; ``[]`` for no parts. ``plain`` parts, as numbers, have nothing to escape: the string is the same."""
     parts = [c.cast("string") for c in columns]
+    if plain and parts:
+        quoted = [F.coalesce(F.concat(F.lit('"'), p, F.lit('"')), F.lit("null")) for p in parts]
+        return F.concat(F.lit("["), *[x for q in quoted for x in (F.lit(","), q)][1:], F.lit("]"))
     return F.to_json(F.array(*parts)) if parts else F.lit("[]")
 
 

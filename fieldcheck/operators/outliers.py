@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from fieldcheck.functions.semantics import baseline_log, checked_log, group_key, in_list, number
 from fieldcheck.functions.templates import compiled
@@ -79,6 +80,8 @@ def long_measures(df: DataFrame, checks: list[Check], keep: list[str], checked:
     if missing:
         raise ValueError(f"columns that checks need are missing: {sorted(missing)}")
 
+    numbers = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+
     def one(k: Check) -> Column:
         raw = number(F.col(k.var))
         gone = in_list(raw, k.exclude)
@@ -88,7 +91,7 @@ def long_measures(df: DataFrame, checks: list[Check], keep: list[str], checked:
             raw = F.when(~gone, raw)
             value = baseline_log(raw) if k.transform == "log" else raw
         return F.struct(
-            F.lit(k.id).alias("check_id"), group_key(F.col(c) for c in k.by).alias("key"), raw.alias("raw"), value.alias("value"), gone.alias("gone")
+            F.lit(k.id).alias("check_id"), group_key((F.col(c) for c in k.by), numbers.issuperset(k.by)).alias("key"), raw.alias("raw"), value.alias("value"), gone.alias("gone")
         )
 
     rows = df.select(*keep, F.explode(F.array(*[one(k) for k in checks])).alias("m")).select(*keep, "m.*")

@@ -1,6 +1,7 @@
 """Group-wise medians and scaled median absolute deviations, exact, without a large group in one task.
 
-Groups of up to GROUP values are sorted within one row each, after one shuffle. Larger ones are searched by rank: a sketch brackets
+Groups are numbered by a hash of their keys, under a seed that keeps all of them apart, and values go by that one number: it sorts by radix and is short to
+shuffle and to compare. Groups of up to GROUP values are sorted within one row each, after one shuffle. Larger ones are searched by rank: a sketch brackets
 the middle, values below the bracket are counted and only those inside it are shuffled. They are dealt out by ranges of (key, value), so a group
 spreads over as many tasks as its size asks for; sizes per partition and key, added up in order, tell in which one the wanted ranks are.
 A group whose bracket doesn't hold them is searched as a whole.
@@ -8,6 +9,8 @@ A group whose bracket doesn't hold them is searched as a whole.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,13 +101,29 @@ def by_rank(values: DataFrame, keys: list[str]) -> DataFrame:
     return med.join(ranked_medians(away, keys).select(*keys, F.col("median").alias("deviation")), keys, "left")
 
 
+def numbered(keys: list[str], seed: int) -> Column:
+    """The number of a group under a seed."""
+    return F.xxhash64(F.lit(seed), *keys)
+
+
 def deviations(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median, deviation) of ``values`` (keys, value); null values don't count, keys are not null."""
+    """(keys, n, median, deviation) of ``values`` (keys, value); null values don't count, keys are not null.
+
+    Groups are counted by their keys; where two have the same number, another seed is tried.
+    """
     values = values.where("value is not null").select(*keys, "value")
-    large = stored(values.groupBy(*keys).agg(F.count("*").alias("size")).where(F.col("size") > GROUP).select(*keys))
+    sizes = stored(values.groupBy(*keys).agg(F.count("*").alias("size")))
+    for seed in count():
+        groups = sizes.withColumn("_group", numbered(keys, seed))
+        if groups.groupBy("_group").count().where("count > 1").isEmpty():
+            break
+    values = values.select(numbered(keys, seed).alias("_group"), "value")
+    large = stored(groups.where(F.col("size") > GROUP).select("_group"))
     if large.isEmpty():
-        return in_one_row(values, keys)
-    return in_one_row(values.join(large, keys, "left_anti"), keys).unionByName(by_rank(values.join(large, keys, "left_semi"), keys))
+        found = in_one_row(values, ["_group"])
+    else:
+        found = in_one_row(values.join(large, "_group", "left_anti"), ["_group"]).unionByName(by_rank(values.join(large, "_group", "left_semi"), ["_group"]))
+    return groups.select(*keys, "_group").join(found, "_group").select(*keys, "n", "median", "deviation")
 
 
 def deviation_thresholds(values: DataFrame, keys: list[str], n_mad: Column) -> DataFrame:

@@ -76,6 +76,32 @@ def test_a_bracket_that_misses_the_middle_costs_nothing_but_time(spark, monkeypa
     assert found_by(spark, "rank", values) == {k: brute([v for g, v in values if g == k]) for k in "abc"}
 
 
+def test_lists_of_values_go_by_one_number_not_by_the_keys(spark):
+    rows = spark.createDataFrame([("c", f"g{n % 40}", float(n)) for n in range(1200)], "check_id string, key string, value double")
+    plan = T.deviations(rows, ["check_id", "key"])._jdf.queryExecution().executedPlan().toString()
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert lists and all("_group" in line and "check_id" not in line for line in lists)
+
+
+@pytest.mark.parametrize("size", [10_000, 40])
+def test_groups_of_the_same_number_are_kept_apart(spark, monkeypatch, size):
+    seeds = []
+    whole = T.numbered
+
+    def two_alike(keys, seed):
+        seeds.append(seed)
+        return F.when(F.col("k") != "c", whole(keys, seed)).otherwise(F.lit(7).cast("bigint")) if seed else F.length("k").cast("bigint")
+
+    monkeypatch.setattr(T, "numbered", two_alike)
+    monkeypatch.setattr(T, "GROUP", size)
+    rng = random.Random(8)
+    groups = {k: [rng.random() for _ in range(n)] for k, n in (("a", 30), ("b", 60), ("c", 45))}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, value double")
+    got = {r["k"]: (r["n"], r["median"], r["deviation"]) for r in T.deviations(rows, ["k"]).collect()}
+    assert got == {k: brute(vs) for k, vs in groups.items()}
+    assert max(seeds) == 1
+
+
 def test_rows_of_a_large_group_are_not_shuffled_to_its_limits(spark, monkeypatch):
     df = lines(spark, normal("a", 3000) + [("a", 1e6)])
     assert sum(shuffled_rows(flagged(df, df, [Check("v")], []))) < 3000  # few groups

@@ -40,3 +40,11 @@ def test_labels(spark):
     labels = spark.createDataFrame([("u", 1.0, "kilo"), ("w", 2.0, "other")], "variable string, code double, label string")
     df = spark.createDataFrame([(1,), (2,), (None,)], "unit int")
     assert {tuple(r) for r in with_label(df, labels, "u", "unit", "text").collect()} == {(1, "kilo"), (2, "2"), (None, None)}
+
+
+def test_keys_of_numbers_need_no_escapes(spark):
+    df = spark.sql("select * from values (1, 2.50, 1e300d), (null, -1.00, double('nan')), (3, null, double('-infinity')), (null, null, -0.0d) as t(a, b, c)")
+    for cs in (("a",), ("a", "b"), ("a", "b", "c")):
+        keys = df.select(S.group_key([F.col(c) for c in cs]).alias("json"), S.group_key([F.col(c) for c in cs], plain=True).alias("plain")).collect()
+        assert len(keys) == 4 and all(r["json"] == r["plain"] for r in keys)
+    assert df.select(S.group_key([], plain=True)).first()[0] == "[]"
