@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import replace
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcheck.functions.stored import stored
 from fieldcheck.functions.templates import compiled_by_key, decode_map, placeholders
 from fieldcheck.operators import check_texts, derive
-from fieldcheck.operators.outliers import Check, of_check, beyond, described, issue_rows, long_measures
-from fieldcheck.operators.thresholds import deviation_thresholds, with_limits
+from fieldcheck.operators.outliers import Check, beyond, described, issue_rows, number_bits, numbered_columns, numbered_measures, whole_columns
+from fieldcheck.operators.thresholds import GROUP, NORMAL, deviations_by_number
 
 # Names of tables, measures and grouping columns of the questionnaire.
 AREA = ("admin1", "urb_rur")
@@ -130,15 +133,71 @@ def with_measures(tables: dict[str, DataFrame], checks: dict[str, list[Check]] |
     return out
 
 
-def _long(tables: dict[str, DataFrame], checks: dict[str, list[Check]], coded: dict[str, list[str]], checked: bool) -> DataFrame:
-    """Measures of all tables in one: interview__id, interview__key, loc, codes, check_id, key, raw, value. Each table is read once."""
+def _place(df: DataFrame) -> Column:
+    """The roster ids of a row in brackets, null without any."""
+    ids = [c for c in df.columns if c.endswith("__id") and c != "interview__id"]
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ids]), F.lit("]")) if ids else F.lit(None).cast("string")
+
+
+def limits_by_number(full: dict[str, DataFrame], checks: dict[str, list[Check]], whole: dict[str, set[str]]) -> tuple[int, DataFrame, set[int], set[int]]:
+    """(seed, (_group, check_id, n_obs, med, ll, ul) of groups that have the values their check asks for, places of checks with small groups, and with large ones)."""
+    every = [k for some in checks.values() for k in some]
+    bits, places = number_bits(every), _places(checks)
+
+    def asked(some: Collection[int] | None) -> dict[str, dict[int, Check]]:
+        return {t: own for t, k in places.items() if (own := {n: c for n, c in k.items() if some is None or n in some})}
+
+    def values(seed: int, some: Collection[int] | None) -> DataFrame:
+        return reduce(DataFrame.unionByName, [numbered_measures(full[t], own, bits, [], False, whole[t], seed) for t, own in asked(some).items()])
+
+    def wide(seed: int, some: Collection[int] | None) -> list[DataFrame]:
+        found = [(t, numbered_columns(full[t], own, bits, False, whole[t], seed)) for t, own in asked(some).items()]
+        return [full[t].select(*[c[x].alias(f"{x}:{n}") for n, c in columns.items() for x in ("_group", "value")]) for t, columns in found]
+
+    seed, found, small, large = deviations_by_number(values, wide, (1 << bits) - 1)
+    at = F.col("_group").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    of = lambda value: F.get(F.array(*[F.lit(value(k)) for k in every]), at)
+    width = of(lambda k: float(k.n_mad)) * (F.col("deviation") * NORMAL)
+    limits = found.where(F.col("n") >= of(lambda k: k.min_obs)).select(
+        "_group", of(lambda k: k.id).alias("check_id"), F.col("n").alias("n_obs"), F.col("median").alias("med"), (F.col("median") - width).alias("ll"), (F.col("median") + width).alias("ul")
+    )
+    return seed, stored(limits), small, large
+
+
+def _places(checks: dict[str, list[Check]]) -> dict[str, dict[int, Check]]:
+    """Checks of each table by their place among all."""
+    n = count()
+    return {t: {next(n): k for k in some} for t, some in checks.items()}
+
+
+def flagged_by_number(filtered: dict[str, DataFrame], full: dict[str, DataFrame], checks: dict[str, list[Check]], coded: dict[str, list[str]]) -> DataFrame:
+    """Outliers of all checks of all tables: interview__id, interview__key, _loc, _codes, check_id, raw, n_obs, med, ll, ul.
+
+    Limits are stored, so Spark knows their size. Where they are many, those of groups of more than GROUP values, which are few, are joined apart, so the rows of
+    such a group are not shuffled. What a row shows of itself is put together for outliers only.
+    """
+    every = [k for some in checks.values() for k in some]
+    whole = {t: whole_columns(full[t], filtered[t]) for t in checks}
+    seed, limits, small, large = limits_by_number(full, checks, whole)
+    if not small | large:  # no values at all
+        small = set(range(len(every)))
+    if limits.count() <= GROUP:
+        joins = [(small | large, limits, None)]
+    else:
+        few = stored(limits.where(F.col("n_obs") > GROUP))
+        joins = [(large, few, None), (small, limits.where(F.col("n_obs") <= GROUP), few.select("_group") if small & large else None)]
     frames = []
-    for name, some in checks.items():
-        df = tables[name]
-        ids = [c for c in df.columns if c.endswith("__id") and c != "interview__id"]
-        loc = F.concat(F.lit("["), F.concat_ws(", ", *[F.col(c).cast("string") for c in ids]), F.lit("]")) if ids else F.lit(None).cast("string")
-        codes = F.array(*[F.col(c).cast("double") for c in coded[name]]).cast("array<double>")
-        frames.append(long_measures(df.withColumns({"_loc": loc, "_codes": codes}), some, ["interview__id", "interview__key", "_loc", "_codes"], checked))
+    for t, places in _places(checks).items():
+        df = filtered[t]
+        keep = list(dict.fromkeys(["interview__id", "interview__key", *(c for c in df.columns if c.endswith("__id")), *coded[t]]))
+        codes = F.array(*[F.col(c).cast("double") for c in coded[t]]).cast("array<double>")
+        for which, of, without in joins:
+            own = {n: k for n, k in places.items() if n in which}
+            if own:
+                rows = numbered_measures(df, own, number_bits(every), keep, True, whole[t], seed).where("value is not null")
+                rows = rows if without is None else rows.join(without, "_group", "left_anti")
+                rows = rows.join(of, "_group").where(beyond(every))
+                frames.append(rows.select("interview__id", "interview__key", _place(df).alias("_loc"), codes.alias("_codes"), "check_id", "raw", "n_obs", "med", "ll", "ul"))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -158,8 +217,7 @@ def outlier_issues(
     fields = {i: [f for _, f, _ in placeholders(t) if f] for i, t in texts.items()}
     coded = {t: sorted({f for k in some for f in fields[k.id] if f in full[t].columns}) for t, some in checks.items()}
     every = [k for some in checks.values() for k in some]
-    limits = deviation_thresholds(_long(full, checks, coded, False).select("check_id", "key", "value"), ["check_id", "key"], of_check(every, "check_id", [float(k.n_mad) for k in every]))
-    rows = with_limits(_long(filtered, checks, coded, True).where("value is not null"), limits, ["check_id", "key"]).where(beyond(every)).drop("mad")
+    rows = flagged_by_number(filtered, full, checks, coded)
     decoder = decode_map(labels, list(checks)) if labels is not None else F.lit(None).cast("map<string,string>")
     places = {t: {c: (f"{t}.{c}", n) for n, c in enumerate(cs)} for t, cs in coded.items()}
     what = compiled_by_key(texts, {k.id: places[t] for t, some in checks.items() for k in some}, F.col("check_id"), decoder, F.col("_codes"))

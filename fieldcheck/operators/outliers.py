@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from fieldcheck.functions.semantics import baseline_log, checked_log, group_key, in_list, number
 from fieldcheck.functions.templates import compiled
@@ -98,6 +98,47 @@ def long_measures(df: DataFrame, checks: list[Check], keep: list[str], checked:
     return (rows.where("not gone") if checked else rows).drop("gone")
 
 
+def number_bits(checks: list[Check]) -> int:
+    """Bits of a group's number that hold the place of its check."""
+    return max(1, (len(checks) - 1).bit_length())
+
+
+def whole_columns(*frames: DataFrame) -> set[str]:
+    """Columns that hold whole numbers in each of the frames that has them."""
+    every = {f.name for df in frames for f in df.schema}
+    return every - {f.name for df in frames for f in df.schema if not isinstance(f.dataType, IntegralType)}
+
+
+def numbered_columns(df: DataFrame, checks: dict[int, Check], bits: int, checked: bool, whole: set[str], seed: int) -> dict[int, dict[str, Column]]:
+    """_group, _twin, raw and value of each check of ``numbered_measures``."""
+    missing = {c for k in checks.values() for c in (k.var, *k.by)} - set(df.columns)
+    if missing:
+        raise ValueError(f"columns that checks need are missing: {sorted(missing)}")
+    out = {}
+    for at, k in checks.items():
+        raw = number(F.col(k.var))
+        gone = in_list(raw, k.exclude)
+        log = checked_log if checked else baseline_log
+        parts = [F.col(b).cast("bigint" if b in whole else "string") for b in k.by]
+        parts += [reduce(lambda a, b: a + b, [F.when(F.col(b).isNull(), F.lit(1 << n)).otherwise(F.lit(0)) for n, b in enumerate(k.by)])] if k.by else []
+        group = F.shiftleft(F.xxhash64(F.lit(seed), F.lit(at), *parts), bits).bitwiseOR(F.lit(at).cast("bigint"))
+        out[at] = {"_group": group, "_twin": F.xxhash64(F.lit(-1 - seed), F.lit(at), *parts), "raw": raw, "value": F.when(~gone, log(raw) if k.transform == "log" else raw)}
+    return out
+
+
+def numbered_measures(df: DataFrame, checks: dict[int, Check], bits: int, keep: list[str], checked: bool, whole: set[str], seed: int) -> DataFrame:
+    """``long_measures`` whose groups are numbers: ``keep``, _group, _twin, raw, value; ``checks`` by their place, excluded values being null on both sides.
+
+    _group is a hash of the check and the key with the check's place in its last bits, _twin another hash of them. Parts are equal where those of ``group_key`` are: ``whole`` columns by
+    their number, others by their text, and which of them are null counts too. Rows become one for each check by an expansion, without an array of structures.
+    """
+    found = numbered_columns(df, checks, bits, checked, whole, seed)
+    columns = [c.alias(f"{name}:{at}") for at, own in found.items() for name, c in own.items()]
+    branches = [f"({', '.join(f'`{name}:{at}`' for name in own)}) as `{at}`" for at, own in found.items()]
+    wide = df.select(*keep, *columns)
+    return df.sparkSession.sql(f"select * from {{wide}} unpivot include nulls ((_group, _twin, raw, value) for _at in ({', '.join(branches)}))", wide=wide).drop("_at")
+
+
 def thresholds(full: DataFrame, checks: list[Check]) -> DataFrame:
     """(check_id, key, n_obs, med, mad, ll, ul) of all checks over all interviews."""
     values = long_measures(full, checks, [], checked=False).select("check_id", "key", "value")

@@ -40,8 +40,8 @@ def interviews_of_interest(tables: dict[str, DataFrame], tracker: DataFrame | No
 def recommendations(tables: dict[str, DataFrame], cases: DataFrame, settings: Settings, labels: DataFrame | None = None) -> dict[str, DataFrame]:
     """Attributes, issues and the nine decision tables for ``cases``; outliers are sought among their rows, against the groups of all interviews."""
     about = {k: df for k, df in tables.items() if k not in (ACTIONS, COMMENTS)}
-    own = select.filter_tables(about, cases)
-    comments = select.filter_tables({COMMENTS: tables[COMMENTS]}, cases)[COMMENTS]
+    own = select.filter_tables({k: df for k, df in tables.items() if k != ACTIONS}, cases, sieved=True)
+    comments = own.pop(COMMENTS)
     stats = select.interview_stats(own[DIAGNOSTICS])
     attribs = stored(attributes.create_attributes(own))
     found = stored(

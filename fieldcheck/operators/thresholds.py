@@ -5,21 +5,33 @@ shuffle and to compare. Groups of up to GROUP values are sorted within one row e
 the middle, values below the bracket are counted and only those inside it are shuffled. They are dealt out by ranges of (key, value), so a group
 spreads over as many tasks as its size asks for; sizes per partition and key, added up in order, tell in which one the wanted ranks are.
 A group whose bracket doesn't hold them is searched as a whole.
+
+Where rows bring the number of their group along (``deviations_by_number``), no key is built for any of them, and groups of up to SORTED values are sorted together,
+many to a task, as arrays of numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection, Iterable, Iterator
+from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcheck.functions.stored import stored
+from fieldcheck.functions.workers import package_on_workers
 
 #: Median absolute deviation of a normal distribution times this is its standard deviation.
 NORMAL = 1.4826
 #: Values of a group that are sorted within a row.
 GROUP = 10_000
+#: Values of a group that are sorted in one task beside other groups, and values of all groups of such a task, on average.
+SORTED, TASK = 200_000, 500_000
+#: Values that are packed at once.
+PACKED = 2_000_000
 #: Size of the sketch that brackets a median, and the share of ranks to either side that the bracket takes in: five times the standard error of the sketch at least.
 SKETCH, BAND = 1600, 0.005
 #: Bits of a place that number the rows within a partition.
@@ -126,6 +138,110 @@ def deviations(values: DataFrame, keys: list[str]) -> DataFrame:
     return groups.select(*keys, "_group").join(found, "_group").select(*keys, "n", "median", "deviation")
 
 
+def _packed(tasks: int, apart: list[int]):
+    """From rows of numbers and values, a pair of columns for each check, to (_task, groups, values): the numbers and values of each task as bytes, those of groups ``apart`` left out."""
+
+    def packed(held: list) -> pa.RecordBatch:
+        groups, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        if apart:
+            some = ~np.isin(groups, apart)
+            groups, values = groups[some], values[some]
+        task = (groups.view(np.uint64) >> np.uint64(20)) % np.uint64(tasks)
+        order = np.argsort(task.astype(np.uint16 if tasks <= 1 << 16 else np.uint32), kind="stable")
+        task, groups, values = task[order], groups[order], values[order]
+        first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]][: len(task)])
+        ends = [*first[1:], len(task)]
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, ends, strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(task[first].astype(np.int32)), cut(groups), cut(values)], ["_task", "groups", "values"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for group, value in zip(b.columns[::2], b.columns[1::2], strict=True):
+                some = value.is_valid()
+                held.append((group.filter(some).to_numpy(), value.filter(some).to_numpy()))
+                n += len(held[-1][0])
+            if n >= PACKED:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_group, n, median, deviation) of the packed values of a task, which holds whole groups."""
+    parts = [np.frombuffer(x.as_buffer(), t) for b in batches for c, t in ((1, np.int64), (2, np.float64)) for x in b.column(c)]
+    if not parts:
+        return
+    kinds = [[x for x in parts if x.dtype == t] for t in (np.int64, np.float64)]
+    groups, values = map(np.concatenate, kinds)
+    del parts, kinds
+
+    def medians(groups, values):
+        order = np.lexsort((values, groups))
+        groups, values = groups[order], values[order]
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        n = np.diff(np.r_[first, len(groups)])
+        low, high = values[first + (n - 1) // 2], values[first + n // 2]
+        return groups, values, groups[first], n, np.where(low == high, low, (low + high) / 2)
+
+    with np.errstate(all="ignore"):  # infinite values
+        groups, values, names, n, median = medians(groups, values)
+        away = np.abs(values - np.repeat(median, n))
+        some = ~np.isnan(away)
+        deviation = np.full(len(names), np.nan)
+        if some.any():
+            _, _, kept, _, found = medians(groups[some], away[some])
+            deviation[np.searchsorted(names, kept)] = found
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array(median), pa.array(deviation, mask=np.isnan(deviation))], ["_group", "n", "median", "deviation"])
+
+
+def in_tasks(wide: list[DataFrame], total: int, apart: list[int]) -> DataFrame:
+    """(_group, n, median, deviation) of groups that each fit in a task: ``wide`` tables have a number and a value for each of their checks, ``total`` values in all, but groups ``apart``.
+
+    Values go to their task in bytes, so as many rows are shuffled as there are tasks on either side.
+    """
+    package_on_workers(wide[0].sparkSession)
+    tasks = max(1, -(-total // TASK))
+    packed = [df.mapInArrow(_packed(tasks, apart), "_task int, groups binary, values binary") for df in wide]
+    rows = reduce(DataFrame.unionByName, packed).repartitionById(tasks, F.col("_task"))
+    return rows.mapInArrow(_sorted_groups, "_group long, n long, median double, deviation double")
+
+
+def deviations_by_number(
+    values: Callable[[int, Collection[int] | None], DataFrame], wide: Callable[[int, Collection[int]], list[DataFrame]], mask: int
+) -> tuple[int, DataFrame, set[int], set[int]]:
+    """(seed, (_group, n, median, deviation), checks with groups of up to GROUP values, checks with larger ones).
+
+    ``values`` gives (_group, _twin, value) for a seed and the numbers of checks, None for all: the number of the row's group under that seed, whose bits in ``mask`` are the
+    check, and another hash of the group; ``wide`` gives the same as tables with a pair of columns for each check, of number and value. Of two groups that have the same number the other hashes differ, and another seed is tried. Null values don't count.
+    Only tables with groups to be sorted, or to be searched by rank, are read for that.
+    """
+    for seed in count():
+        rows = values(seed, None).where("value is not null").groupBy("_group")
+        sizes = stored(rows.agg(F.count("*").alias("size"), (F.min("_twin") != F.max("_twin")).alias("_alike")))
+        size = F.col("size")
+        kinds = sizes.groupBy(F.col("_group").bitwiseAND(F.lit(mask)).alias("check")).agg(
+            F.count_if("_alike").alias("alike"), F.sum(F.when(size <= SORTED, size)).alias("sorted"), F.count_if(size > SORTED).alias("ranked"), F.count_if(size <= GROUP).alias("small"), F.count_if(size > GROUP).alias("large")
+        ).collect()
+        if not any(k["alike"] for k in kinds):
+            break
+    of = lambda what: {k["check"] for k in kinds if k[what]}
+    both = of("sorted") & of("ranked")
+    many = stored(sizes.where(size > SORTED).select("_group")) if of("ranked") else None
+
+    found = []
+    if of("sorted") or not kinds:
+        apart = [r["_group"] for r in many.where(F.col("_group").bitwiseAND(F.lit(mask)).isin(*both)).collect()] if both else []
+        found.append(in_tasks(wide(seed, of("sorted") or None), sum(k["sorted"] or 0 for k in kinds), apart))
+    if of("ranked"):
+        rows = values(seed, of("ranked")).where("value is not null").select("_group", "value")
+        found.append(by_rank(rows.join(many, "_group", "left_semi") if both else rows, ["_group"]))
+    return seed, reduce(DataFrame.unionByName, found), of("small"), of("large")
+
+
 def deviation_thresholds(values: DataFrame, keys: list[str], n_mad: Column) -> DataFrame:
     """(keys, n_obs, med, mad, ll, ul) of ``values`` (keys, value); null values don't count."""
     found = deviations(values, keys).withColumn("n_mad", n_mad).withColumn("mad", F.col("deviation") * NORMAL)

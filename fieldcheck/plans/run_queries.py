@@ -352,7 +352,7 @@ SETTINGS = run.Settings(checks={t: CHECKS[t] for t in RUN_TABLES})
 
 
 def run_tables(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """A survey with all that a run reads."""
+    """A survey with all that a run reads; households, which are joined, are stored."""
     logical = C.survey(spark, sf_dir)
     homes = C.homes(spark, sf_dir)
     more = survey(spark, sf_dir, RUN_TABLES)
@@ -363,7 +363,7 @@ def run_tables(spark, sf_dir: str) -> dict[str, DataFrame]:
     return (
         logical
         | more
-        | {"households": more["households"].join(answers, "interview__id")}
+        | {"households": stored(more["households"].join(answers, "interview__id"))}
         | {run.ACTIONS: log, run.DIAGNOSTICS: frame(spark, sf_dir, _DIAGNOSTICS), run.COMMENTS: frame(spark, sf_dir, _REMARKS)}
     )
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from fieldcheck.operators import attributes as A
 from fieldcheck.operators import changes, derive, issues, messages, select
 from fieldcheck.sources import archive, versions
+from tests.plans import shuffled_rows
 
 IDS = "interview__id string, interview__key string"
 
@@ -92,6 +93,29 @@ def test_completed_and_filtered(spark):
         select.completed(main, [100], "nothing = 1")
 
 
+def test_many_interviews_go_through_a_sieve(spark, monkeypatch):
+    """Few rows of others are shuffled to the interviews, and none of theirs is lost."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 7 != 3, F.col("id").cast("string")).alias("interview__id"), "id")
+    some = spark.range(0, 20_000, 40).select(F.when(F.col("id") != 80, F.col("id").cast("string")).alias("interview__id"))
+    want = sorted(r["id"] for r in rows.join(some, "interview__id", "left_semi").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = {}
+        for least in (501, 500):
+            monkeypatch.setattr(select, "SIEVED", least)
+            own = select.filter_tables({"x": rows}, some, sieved=True)["x"]
+            assert sorted(r["id"] for r in own.collect()) == want
+            sent[least] = sum(shuffled_rows(own))
+        assert sent[500] < sent[501] / 3
+        assert select.filter_tables({"x": rows}, some.where("false"), sieved=True)["x"].count() == 0
+        monkeypatch.setattr(select, "SIEVE_MOST", 64)
+        assert sorted(r["id"] for r in select.filter_tables({"x": rows}, some, sieved=True)["x"].collect()) == want
+        monkeypatch.setattr(select, "SIEVED", 0)
+        assert select.filter_tables({"x": rows}, some.where("false"), sieved=True)["x"].count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_archives(spark):
     entries = {
         "dta": [("a.dta", "file"), ("b.dta", "file")],

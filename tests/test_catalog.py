@@ -1,12 +1,14 @@
 """All checks over a made-up survey: every table has interviews of usual values and two of far ones, one for denominators of ratios."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from fieldcheck.operators import attributes, catalog, issues
-from fieldcheck.operators.outliers import Check
+from fieldcheck.operators import attributes, catalog, issues, outliers
+from fieldcheck.operators import thresholds as T
+from fieldcheck.operators.outliers import Check, flagged
 from tests.plans import shuffled_rows
 
 INPUTS = {n: {c for cols in m.values() for c in cols} for src in (catalog.DAILY, catalog.RATIOS) for n, m in src.items()}
@@ -105,3 +107,73 @@ def test_unknown_column(spark):
     homes = {"households": survey(spark)["households"]}
     with pytest.raises(ValueError, match="missing"):
         catalog.outlier_issues(homes, homes, {"households": [Check("nothing")]})
+
+
+ODD = "interview__id string, interview__key string, r__id int, g double, t string, v double"
+
+
+def odd_rows(spark):
+    """Groups of keys that look alike: null and its text, zeros of both signs, not-a-number, and one of values that are missing, infinite or left out."""
+    rng = random.Random(4)
+    rows = [(g, t, 100 * rng.lognormvariate(0, 0.1) * scale) for n, (g, t) in enumerate([(None, "null"), (1.0, None), (None, None), (0.0, "a"), (-0.0, "a"), (float("nan"), "a"), (1.0, "1.0")]) for scale in [7**n] * (31 + n)]
+    rows += [(g, t, v) for g, t, _ in rows[:: 31 // 2] for v in (1e9, None, float("nan"), float("inf"), 0.0, -1.0, 99.0)]
+    return spark.createDataFrame([(f"i{n}", f"k{n}", n, *r) for n, r in enumerate(rows)], ODD)
+
+
+CHECKED = [Check("v", ("g", "t"), n_mad=9), Check("v", ("t",), exclude=(99,), bounds="both", n_mad=4), Check("v", (), transform="none", min_obs=50), Check("v", ("r__id",))]
+
+
+def outliers_as_before(df, checks):
+    """Outliers by the texts of keys."""
+    return flagged(df, df, [replace(k, table="a") for k in checks], ["interview__id"])
+
+
+def shape(rows):
+    return sorted((r["check_id"], r["interview__id"], r["raw"], r["n_obs"], round(r["med"], 9), round(r["ul"], 9)) for r in rows.collect())
+
+
+@pytest.mark.parametrize("ranked, joined", [(10**9, 10**9), (40, 2), (0, 0)])
+def test_groups_by_number_are_those_by_text(spark, monkeypatch, ranked, joined):
+    """Groups that are sorted, ranked, or some of each, and limits in one join or two."""
+    df = odd_rows(spark)
+    want = shape(outliers_as_before(df, CHECKED))
+    monkeypatch.setattr(T, "SORTED", ranked)
+    monkeypatch.setattr(T, "GROUP", joined)
+    monkeypatch.setattr(catalog, "GROUP", joined)
+    monkeypatch.setattr(T, "TASK", 50)
+    monkeypatch.setattr(T, "PACKED", 100)
+    checks = {"a": [replace(k, table="a") for k in CHECKED]}
+    assert len(want) > 20 and shape(catalog.flagged_by_number({"a": df}, {"a": df}, checks, {"a": []})) == want
+    nothing = df.where("false")
+    assert catalog.flagged_by_number({"a": df}, {"a": nothing}, checks, {"a": []}).count() == 0
+
+
+def test_groups_of_one_number_get_another_seed(spark, monkeypatch):
+    df = odd_rows(spark)
+    whole, seeds = outliers.numbered_columns, []
+
+    def alike(df, checks, bits, checked, columns, seed):
+        seeds.append(seed)
+        found = whole(df, checks, bits, checked, columns, seed)
+        return {at: {**c, "_group": F.lit(at).cast("bigint")} if seed == 0 else c for at, c in found.items()}
+
+    for module in (outliers, catalog):
+        monkeypatch.setattr(module, "numbered_columns", alike)
+    checks = {"a": [replace(k, table="a") for k in CHECKED]}
+    assert shape(catalog.flagged_by_number({"a": df}, {"a": df}, checks, {"a": []})) == shape(outliers_as_before(df, CHECKED))
+    assert set(seeds) == {0, 1}
+
+
+def test_values_are_shuffled_as_bytes(spark):
+    rows = spark.range(4000, numPartitions=2).select((F.col("id") % 50).alias("_group:0"), F.col("id").cast("double").alias("value:0"))
+    found = T.in_tasks([rows], 4000, [])
+    assert sum(shuffled_rows(found)) == 2
+    assert sorted(tuple(r) for r in found.collect())[3] == (3, 80, 1978.0, 1000.0)
+
+
+def test_types_that_differ_between_tables(spark):
+    full = odd_rows(spark).where("t = 'a' and g = 0").withColumn("g", F.col("r__id") % 2)
+    target = full.withColumn("g", F.col("g").cast("string"))
+    checks = {"a": [Check("v", ("g",), table="a", min_obs=5)]}
+    found = catalog.flagged_by_number({"a": target}, {"a": full}, checks, {"a": ["g"]})
+    assert shape(found) == shape(flagged(full, full, checks["a"], ["interview__id"])) != []
